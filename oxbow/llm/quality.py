@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import SPACES, WORD, fresh, join_small, let, read, stage
+from ._common import WORD, fresh, join_small, let, read, stage
 
 SYMBOLS = "#*$%&|<>"
 WINDOW, LEAST_WORDS, REPEATED_PERCENT = 8, 20, 30
@@ -33,7 +33,7 @@ FENCE, QUARTILES, LEAST_GROUP = 3, (25, 75), 100
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def _repeat_words(words: Column) -> Column:
+def _repeat_words(word_hashes: Column) -> Column:
     """How many words lie in a window of WINDOW words that the text holds twice or more, by the windows' 64-bit hashes.
 
     Three rounds of hashing a neighbour's hash to a word's give a hash of eight words; sorting finds equal ones.
@@ -42,7 +42,7 @@ def _repeat_words(words: Column) -> Column:
     def pair(hashes: Column, step: int) -> Column:
         return let(hashes, lambda h: F.transform(F.slice(h, F.lit(1), F.greatest(F.size(h) - step, F.lit(0))), lambda x, i: F.xxhash64(x, h[i + step])))
 
-    hashes = pair(pair(pair(F.transform(words, lambda w: F.xxhash64(w)), 1), 2), 4)
+    hashes = pair(pair(pair(word_hashes, 1), 2), 4)
 
     def covered(h: Column) -> Column:
         ordered = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
@@ -59,13 +59,13 @@ def counts(text: Column) -> Column:
 
     def of(t: Column) -> Column:
         lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD))
-        solid = F.translate(t, SPACES, "")
+        words = F.regexp_extract_all(t, F.lit(WORD), F.lit(0))
         return let(
-            F.struct(F.regexp_extract_all(t, F.lit(WORD), F.lit(0)).alias("w"), lines.alias("l"), F.length(solid).alias("c")),
+            F.struct(F.transform(words, lambda w: F.xxhash64(w)).alias("w"), lines.alias("l")),
             lambda s: F.struct(
                 F.size(s["w"]).cast("long").alias("n_words"),
-                s["c"].cast("long").alias("word_chars"),
-                (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+                (F.length(t) - F.regexp_count(t, F.lit(r"[\x20\x09-\x0D]"))).cast("long").alias("word_chars"),
+                F.regexp_count(t, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
                 (F.size(s["l"]) - F.size(F.array_distinct(s["l"]))).cast("long").alias("n_dup_lines"),
                 _repeat_words(s["w"]).cast("long").alias("n_repeat_words"),
                 F.size(s["l"]).cast("long").alias("n_lines"),
