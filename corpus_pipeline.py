@@ -1,10 +1,16 @@
-"""The corpus pipeline: STAGES applied to documents in order, each one's result written and read again."""
+"""The corpus pipeline: STAGES applied to documents in order, each one's result written and read again.
+
+quality_rules keeps the documents that the base rule and the adaptive thresholds accept; near_duplicates keeps one
+document of each group of linked fingerprints; decontamination drops documents that leak a benchmark item;
+personal_data replaces spans in texts by their kind; mixing keeps the documents that the mix takes, with how often
+(mix_copies) and when (mix_time), in the order of mix_time.  The first four return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oxbow.llm import quality
+from oxbow.llm import decontaminate, mix, pii, quality, simhash
 from oxbow.llm._common import read, stage
 
 
@@ -12,7 +18,30 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mix.mixed(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("mixing", mixing),
+]
+#: SimHash and the skip-chain field have no SQL: tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -35,6 +35,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def window_hashes(word_hashes: Column, doublings: int) -> Column:
+    """Hashes of all windows of 2 ** doublings words, in order: each round hashes a window's hash with its neighbour's."""
+    for k in range(doublings):
+        step = 1 << k
+        word_hashes = let(word_hashes, lambda h, step=step: F.transform(F.slice(h, F.lit(1), F.greatest(F.size(h) - step, F.lit(0))), lambda x, i: F.xxhash64(x, h[i + step])))
+    return word_hashes
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like names that clash with none of df, whatever their case."""
     have, out = {c.lower() for c in df.columns}, []

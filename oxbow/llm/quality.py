@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, fresh, join_small, let, read, stage
+from ._common import WORD, fresh, join_small, let, read, stage, window_hashes
 
 SYMBOLS = "#*$%&|<>"
 WINDOW, LEAST_WORDS, REPEATED_PERCENT = 8, 20, 30
@@ -36,21 +36,15 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 def _repeat_words(word_hashes: Column) -> Column:
     """How many words lie in a window of WINDOW words that the text holds twice or more, by the windows' 64-bit hashes.
 
-    Three rounds of hashing a neighbour's hash to a word's give a hash of eight words; sorting finds equal ones.
+    Sorting finds equal ones.
     """
-
-    def pair(hashes: Column, step: int) -> Column:
-        return let(hashes, lambda h: F.transform(F.slice(h, F.lit(1), F.greatest(F.size(h) - step, F.lit(0))), lambda x, i: F.xxhash64(x, h[i + step])))
-
-    hashes = pair(pair(pair(word_hashes, 1), 2), 4)
-
     def covered(h: Column) -> Column:
         ordered = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
         twice = let(ordered, lambda s: F.filter(s, lambda x, k: ((k > 0) & (F.get(s, k - 1)["h"] == x["h"])) | F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False))))
         starts = F.array_sort(F.transform(twice, lambda x: x["i"]))
         return let(starts, lambda p: F.aggregate(F.transform(p, lambda x, k: F.least(F.coalesce(F.get(p, k + 1) - x, F.lit(WINDOW)), F.lit(WINDOW))), F.lit(0), lambda a, x: a + x))
 
-    return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h)))
+    return let(window_hashes(word_hashes, 3), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h)))
 
 
 def counts(text: Column) -> Column:
