@@ -1,152 +1,192 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word is its hashed character n-grams, of MIN_GRAM to MAX_GRAM characters with its ends marked, and itself.  Each has an embedding; a
-passage of at most PASSAGE words is the mean of its words', a word the mean of its n-grams'; a linear softmax over
-that tells the classes.  Embeddings and softmax are trained together, by Adagrad, so a misspelling, or a
-word never seen, shares the vectors of its n-grams.  A text's score is that of its most toxic passage: one passage
-in a long text is not averaged away.  In training a labelled text is the same most toxic passage of its own, by the
-model so far (multiple-instance learning, one positive passage at least makes a text positive).
+A word, a run of letters and digits in lower case, is the bag of its hashed character n-grams, of MIN_GRAM to MAX_GRAM
+characters with its ends marked.  A passage, of PASSAGE words, is the mean of its words' vectors (a shorter one's is over LEAST_WORDS at least), and a word the mean of its
+n-grams' embeddings; a linear softmax over that tells the classes.  Embeddings and softmax are trained together, by
+Adagrad, so a misspelling, or a word never seen, shares the vectors of its n-grams.  A word right after itself counts once.
 
-Training takes at most TRAIN_ROWS labelled rows of each class, those of smallest crc32 of their id, none of which is
-held out, and at most TRAIN_CHARS characters of each.  Scores read whole texts and nothing but texts.
+A text's score is that of its most toxic passage, so one passage in a long text is not averaged away.  In training a
+labelled text stands for passages of its own: at first one at random, later the most toxic one by the model so far
+(multiple-instance learning: one positive passage makes a text positive).
 
-As the softmax is linear in averaged embeddings, each word adds one number to its passage; a task keeps these for the
-words it has met, at most CACHE at a time.
+Training takes at most TRAIN_ROWS labelled rows of each class, those of smallest crc32 of their id, none of which is
+held out, and at most TRAIN_CHARS characters of each.  Scores read whole texts and nothing but texts, a CHUNK of
+characters at a time.  As the softmax is linear in averaged embeddings, an n-gram adds one number to its passage.
 
-Defined results: a null or empty text scores as the softmax's bias alone.  A null doc_id is in training if labelled, which
-it cannot be, and not held out.  Repeated rows get equal scores; of repeated labels the largest counts.  Without labelled
-rows of both classes every score is the share of toxic ones (0 if there are none).  An empty table gives no rows.
+Defined results: a null or empty text, or one without words, scores as the softmax's bias alone.  A row without doc_id
+is not held out, and cannot be labelled.  Repeated rows get equal scores; of repeated labels the largest counts, of
+repeated documents the smallest text trains.  Without labelled rows of both classes every score is the share of toxic ones
+(0 if there are none).  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import read
 
 MIN_GRAM, MAX_GRAM, BUCKETS, WIDTH = 3, 5, 1 << 17, 8
-PASSAGE, TRAIN_ROWS, TRAIN_CHARS = 40, 1500, 20_000
-EPOCHS, RATE, BATCH, SEED, CACHE = 12, 0.5, 64, 7, 300_000
+PASSAGE, LEAST_WORDS, TRAIN_ROWS, TRAIN_CHARS, CHUNK = 40, 20, 3000, 20_000, 1 << 20
+STEPS, WARM_STEPS, WARM_PASSAGE, RATE, BATCH, SEED = 700, 200, 200, 0.5, 64, 7
 THRESHOLD, HELD_OUT = 0.7, 1
-_WORD = re.compile(r"[^\W_]+")
-
-
-def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
-
-
-def grams_of(word: str) -> list[int]:
-    """Buckets of the word and its n-grams."""
-    w = f"<{word[:40]}>"
-    grams = {w} | {w[i : i + n] for n in range(MIN_GRAM, MAX_GRAM + 1) for i in range(len(w) - n + 1)}
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in sorted(grams)]
+_GRAMS = range(MIN_GRAM, MAX_GRAM + 1)
+
+
+class _Letters:
+    """Whether a code point is a letter or digit, as a table made when first needed."""
+
+    table: np.ndarray | None = None
+
+    @classmethod
+    def of(cls, codes: np.ndarray) -> np.ndarray:
+        if cls.table is None:
+            cls.table = np.array([chr(c).isalnum() for c in range(0x110000)])
+        return cls.table[codes]
+
+
+def grams_of(text: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """The bucket and the word's number of every n-gram of the text, and the number of words."""
+    codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    word = _Letters.of(codes)
+    codes = np.where(word, codes, 1).astype(np.uint32)
+    starts = word[1:] & ~word[:-1]
+    n_words = int(starts.sum())
+    if not n_words:
+        return np.zeros(0, np.int32), np.zeros(0, np.int32), 0
+    nth = np.r_[0, np.cumsum(starts)].astype(np.int32) - 1  # of the word at, or else before, a place
+    mixed = codes * np.uint32(0x9E3779B1)
+    mixed ^= mixed >> np.uint32(15)
+    buckets, owners = [], []
+    h, inner = mixed, np.ones(len(codes), bool)
+    for n in range(2, MAX_GRAM + 1):
+        h = (h[: len(codes) - n + 1] * np.uint32(0x85EBCA77) + mixed[n - 1 :]) if n <= len(codes) else h[:0]
+        if n >= 3:
+            inner = inner[: len(h)] & word[n - 2 : n - 2 + len(h)]
+        if n in _GRAMS:
+            at = np.flatnonzero(inner)
+            mine = h[at] + np.uint32(n)
+            buckets.append(((mine ^ (mine >> np.uint32(13))) * np.uint32(0xC2B2AE3D) >> np.uint32(15)).astype(np.int32))
+            owners.append(nth[at + 1])
+    bucket, owner = np.concatenate(buckets), np.concatenate(owners)
+    same = np.bincount(owner, bucket.astype(float) ** 1.5, n_words)
+    again = np.r_[False, same[1:] == same[:-1]]
+    if again.any():
+        kept = ~again[owner]
+        bucket, owner = bucket[kept], (np.cumsum(~again) - 1).astype(np.int32)[owner[kept]]
+        n_words = int((~again).sum())
+    return bucket, owner, n_words
+
+
+def chunks_of(text: str) -> Iterator[str]:
+    """The text in pieces of about CHUNK characters that end between words."""
+    at = 0
+    while at < len(text):
+        end = at + CHUNK
+        while end < len(text) and text[end].isalnum():
+            end += 1
+        yield text[at:end]
+        at = end
 
 
 class Model:
     def __init__(self):
         rng = np.random.default_rng(SEED)
-        self.vectors = rng.uniform(-0.5, 0.5, (BUCKETS, WIDTH)).astype(np.float32) / WIDTH
+        self.vectors = (rng.uniform(-0.5, 0.5, (BUCKETS, WIDTH)) / WIDTH).astype(np.float32)
         self.weights = np.zeros((WIDTH, 2), np.float32)
         self.bias = np.zeros(2, np.float32)
         self.share: float | None = None
 
+    def _told(self) -> np.ndarray:
+        return self.vectors @ (self.weights[:, 1] - self.weights[:, 0])
+
     def fit(self, texts: list[str], labels: list[int]) -> Model:
         y = np.array(labels)
         if len(set(labels)) < 2:
             self.share = float(y.mean()) if len(y) else 0.0
             return self
-        vocabulary: dict[str, int] = {}
-        docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t[:TRAIN_CHARS])], np.int64) for t in texts]
-        lists = [grams_of(w) for w in vocabulary]
-        sizes = np.array([len(g) for g in lists])
-        flat, starts = np.concatenate([np.array(g, np.int64) for g in lists]), np.r_[0, np.cumsum(sizes)[:-1]]
+        docs = []
+        for t in texts:
+            bucket, owner, n = grams_of(t[:TRAIN_CHARS])
+            order = np.argsort(owner, kind="stable")
+            docs.append((bucket[order], owner[order], np.searchsorted(owner[order], np.arange(n + 1))))
         rng = np.random.default_rng(SEED)
         seen_v, seen_w = np.full((BUCKETS, 1), 1e-6, np.float32), np.full_like(self.weights, 1e-6)
-        weight = np.ones(len(y))
-        for epoch in range(EPOCHS):
-            word_vectors = np.add.reduceat(self.vectors[flat], starts, axis=0) / sizes[:, None]
-            told = word_vectors @ (self.weights[:, 1] - self.weights[:, 0])
-            bags = [_worst(told, d) if epoch else d for d in docs]
+        step = 0
+        while step < STEPS:
+            told = self._told()
             for at in np.array_split(rng.permutation(len(y)), max(1, len(y) // BATCH)):
-                rows = [bags[k] for k in at]
-                lens = np.array([len(r) for r in rows])
-                keep = np.flatnonzero(lens)
-                at, lens, words = at[keep], lens[keep], np.concatenate([rows[k] for k in keep])
-                owner = np.repeat(np.arange(len(at)), lens)
-                grams = np.concatenate([flat[starts[w] : starts[w] + sizes[w]] for w in words])
-                per = np.repeat(1.0 / (sizes[words] * lens[owner]), sizes[words]).astype(np.float32)
-                mine = np.repeat(owner, sizes[words])
-                ends = np.r_[0, np.flatnonzero(np.diff(mine)) + 1]
-                h = np.add.reduceat(self.vectors[grams] * per[:, None], ends, axis=0)
+                step += 1
+                bags, per, kept = [], [], []
+                for k in at:
+                    bucket, owner, ends = docs[k]
+                    n = len(ends) - 1
+                    if not n:
+                        continue
+                    size = WARM_PASSAGE if step <= WARM_STEPS else PASSAGE
+                    lo = 0 if n <= size else int(rng.integers(0, n - size + 1)) if step <= WARM_STEPS else _worst(_word_means(told[bucket], owner, n))
+                    hi = min(n, lo + size)
+                    lens = np.diff(ends[lo : hi + 1])
+                    bags.append(bucket[ends[lo] : ends[hi]])
+                    per.append(np.repeat(1.0 / (lens * max(LEAST_WORDS, hi - lo)), lens))
+                    kept.append(k)
+                grams, per, sizes = np.concatenate(bags), np.concatenate(per).astype(np.float32), np.array([len(b) for b in bags])
+                mine = np.repeat(np.arange(len(bags)), sizes)
+                h = np.add.reduceat(self.vectors[grams] * per[:, None], np.r_[0, np.cumsum(sizes)[:-1]], axis=0)
                 z = h @ self.weights + self.bias
                 p = np.exp(z - z.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
-                g = (p - np.eye(2, dtype=np.float32)[y[at]]) * weight[at, None]
-                g_w, g_h = h.T @ g / len(at), g @ self.weights.T
+                g = p - np.eye(2, dtype=np.float32)[y[kept]]
+                g_w, g_h = h.T @ g / len(kept), g @ self.weights.T
                 seen_w += g_w**2
                 self.weights -= RATE * g_w / np.sqrt(seen_w)
                 self.bias -= 0.1 * g.mean(0)
                 buckets, back = np.unique(grams, return_inverse=True)
-                g_v = np.zeros((len(buckets), WIDTH), np.float32)
-                np.add.at(g_v, back, g_h[mine] * per[:, None])
+                g_v = np.stack([np.bincount(back, g_h[mine, d] * per, len(buckets)) for d in range(WIDTH)], axis=1).astype(np.float32)
                 seen_v[buckets] += (g_v**2).mean(1, keepdims=True)
                 self.vectors[buckets] -= RATE * g_v / np.sqrt(seen_v[buckets])
         return self
 
     def scorer(self) -> Scorer:
-        return Scorer(self.vectors @ (self.weights[:, 1] - self.weights[:, 0]), float(self.bias[1] - self.bias[0]), self.share)
+        return Scorer(self._told(), float(self.bias[1] - self.bias[0]), self.share)
 
 
-def _worst(told: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """The passage of words whose words tell most."""
-    if len(words) <= PASSAGE:
-        return words
-    ends = np.r_[np.arange(PASSAGE, len(words), PASSAGE), len(words)]
-    starts = np.maximum(ends - PASSAGE, 0)
-    sums = np.r_[0, np.cumsum(told[words])]
-    k = int(np.argmax(sums[ends] - sums[starts]))
-    return words[starts[k] : ends[k]]
+def _word_means(told: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(owner, told, n) / np.maximum(np.bincount(owner, minlength=n), 1)
 
 
-class Scorer(dict):
-    """Scores texts; the dict holds what each word adds."""
+def _passages(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where passages start, half a passage apart, and their means."""
+    n = len(words)
+    starts = np.unique(np.r_[np.arange(0, max(1, n - PASSAGE), PASSAGE // 2), max(0, n - PASSAGE)])
+    sums = np.r_[0, np.cumsum(words)]
+    return starts, (sums[np.minimum(starts + PASSAGE, n)] - sums[starts]) / min(max(n, LEAST_WORDS), PASSAGE)
 
-    def __init__(self, told: np.ndarray, bias: float, share: float | None):
-        self.told, self.bias, self.share = told.astype(np.float32), bias, share
 
-    def __reduce__(self):
-        return Scorer, (self.told, self.bias, self.share)
+def _worst(words: np.ndarray) -> int:
+    starts, means = _passages(words)
+    return int(starts[means.argmax()])
+
 
-    def __missing__(self, word: str) -> float:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = out = float(self.told[grams_of(word)].mean())
-        return out
+class Scorer:
+    """What an n-gram of each bucket adds, and the bias."""
+
+    def __init__(self, told: np.ndarray, bias: float, share: float | None):
+        self.told, self.bias, self.share = told.astype(np.float32), bias, share
 
     def score(self, text: str | None) -> float:
         if self.share is not None:
             return self.share
-        words = words_of(text)
-        n = len(words)
-        if n == 0:
-            z = self.bias
-        elif n <= PASSAGE:
-            z = sum(map(self.__getitem__, words)) / n + self.bias
-        else:
-            sums = np.r_[0, np.cumsum(np.fromiter(map(self.__getitem__, words), np.float64, n))]
-            ends = np.r_[np.arange(PASSAGE, n, PASSAGE), n]
-            z = float((sums[ends] - sums[ends - PASSAGE]).max()) / PASSAGE + self.bias
+        words = [_word_means(self.told[b], o, n) for b, o, n in map(grams_of, chunks_of(text or "")) if n]
+        z = self.bias + (float(_passages(np.concatenate(words))[1].max()) if words else 0.0)
         return 1 / (1 + float(np.exp(-np.clip(z, -500, 500))))
 
 
-def held_out(doc_id):
+def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == HELD_OUT, F.lit(False))
 
 
