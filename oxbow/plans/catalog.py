@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import history_queries  # noqa: F401
+from ._registry import ORACLE_SQL, QUERIES  # noqa: F401
