@@ -32,7 +32,7 @@ def outages(acks: DataFrame, by: list[str], seconds: float = 1.0, most: int = 5)
     """The first gaps of over so many seconds between commits (at_s)."""
     w = Window.partitionBy(*by).orderBy("at_s")
     gaps = acks.select(*by, F.lag("at_s").over(w).alias("from_s"), F.col("at_s").alias("to_s")).where(F.col("to_s") - F.col("from_s") > seconds)
-    return gaps.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy("from_s", "to_s"))).where(F.col("nth") <= most)
+    return gaps.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy("from_s", "to_s")).cast("long")).where(F.col("nth") <= most)
 
 
 COUNTERS = ("data_puts", "data_gets", "authority_puts", "authority_gets")
@@ -87,7 +87,7 @@ def rank_candidates(directory: DataFrame, by: list[str], now_ms: Column) -> Data
     """Place of each record: fresh ones first, then those that claim to serve, then the youngest, then by owner."""
     age = saturating_sub(now_ms, F.col("published_at_ms"))
     d = directory.withColumn("fresh", fresh(now_ms)).withColumn("age_ms", age)
-    return d.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("fresh").desc(), F.col("serving").desc(), "age_ms", "owner")))
+    return d.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("fresh").desc(), F.col("serving").desc(), "age_ms", "owner")).cast("long"))
 
 
 def capability(directory: DataFrame, by: list[str], now_ms: Column, needed: int) -> DataFrame:

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import history_queries  # noqa: F401
+from . import history_queries, ops_queries  # noqa: F401
 from ._registry import ORACLE_SQL, QUERIES  # noqa: F401

@@ -134,6 +134,7 @@ def decode_wire(streams: DataFrame) -> DataFrame:
         names = [x.split()[0] for x in FRAMES.split(", ")]
         for batch in batches:
             rows = [{"stream_id": i, "nth": n} | f for i, content in zip(batch["stream_id"], batch["content"], strict=True) for n, f in enumerate(decode_frames(bytes(content or b"")))]
-            yield pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in ("epoch", "sequence", "first_offset", "next_offset")})
+            out = pd.DataFrame(rows, columns=names).astype(object)
+            yield out.where(out.notna(), None).astype({c: "Int64" for c in ("epoch", "sequence", "first_offset", "next_offset")})
 
     return streams.select("stream_id", "content").mapInPandas(run, FRAMES)
