@@ -1,0 +1,60 @@
+import pytest
+from oxbow import functions as X
+from oxbow.sources import decode_frames, encode_ack, encode_error, encode_hello, encode_submit, ledger, raw_lines
+from pyspark.sql import functions as F
+
+# Fixed values of the format.
+HELLO = "0000001953505731010707070707070707070707070707070700000003"
+SUBMIT = "0000002653505731020000000000000009000000020000000b6c696e650a696e736964650000000200ff"
+
+
+def test_vectors():
+    assert encode_hello(b"\x07" * 16, 3).hex() == HELLO
+    assert encode_submit(9, [b"line\ninside", b"\x00\xff"]).hex() == SUBMIT
+    assert list(decode_frames(bytes.fromhex(SUBMIT))) == [{"kind": "submit", "sequence": 9, "records": [b"line\ninside", b"\x00\xff"]}]
+    stream = encode_hello(b"\x07" * 16, 3) + encode_ack(3, 11, 20, 22) + encode_error(3, 11, 2, "busy")
+    assert [f["kind"] for f in decode_frames(stream)] == ["hello", "ack", "error"]
+
+
+@pytest.mark.parametrize("cut", [1, 3, 5, 20])
+def test_cut_streams_end_invalid(cut):
+    assert [f["kind"] for f in decode_frames(bytes.fromhex(HELLO) + bytes.fromhex(SUBMIT)[:-cut])] == ["hello", "invalid"]
+
+
+def test_mutations_are_rejected():
+    whole = bytes.fromhex(HELLO)
+    for bad in (whole[:4] + b"X" + whole[5:], whole[:8] + b"\x09" + whole[9:], whole[:-4] + b"\0\0\0\0", b"\xff\xff\xff\xff" + whole[4:]):
+        assert [f["kind"] for f in decode_frames(bad)] == ["invalid"]
+
+
+def one(spark, c):
+    return spark.range(1).select(c.alias("x")).first().x
+
+
+def test_functions(spark):
+    assert one(spark, X.commit_ref(F.lit("parquet:a#sha256:b")))["file"] == "a"
+    assert one(spark, X.commit_ref(F.lit("parquet:../a#b"))) is None
+    assert one(spark, X.token(F.lit("a=1 owner=x=y"), "owner")) == "x=y"
+    assert one(spark, X.ack_line(F.lit("OK 3 9"))).asDict() == {"first_offset": 3, "next_offset": 9}
+    assert one(spark, X.ack_line(F.lit("OK 3"))) is None
+    assert one(spark, X.age_text(F.lit(59.94))) == "59.9s ago"
+    assert one(spark, X.round_half_away(F.lit(-2.5))) == -3
+    assert one(spark, X.unix_nanos(F.lit(1700000000123))) == "1700000000123000000"
+    p = one(spark, X.safe_payload(F.lit(b"\x00a")))
+    assert (p.encoding, p.text) == ("hex", "0061")
+    spans = F.expr("array(named_struct('first', 0L, 'count', 2L), named_struct('first', 2L, 'count', 1L))")
+    assert one(spark, X.tiles(spans, F.lit(3))) is True
+    assert one(spark, X.tiles(spans, F.lit(4))) is False
+    assert one(spark, X.has_secret(F.lit(None).cast("string"))) is False
+
+
+def test_ledger_and_lines(spark, tmp_path):
+    p = tmp_path / "l.jsonl"
+    p.write_text('{"row_type":"send","seq":1,"verse":"v","unacked":false}\n\n{"row_type":"failover","verse":"v"}\n')
+    assert [r.seq for r in ledger(spark, str(p)).collect()] == [1]
+    assert ledger(spark, str(p), "failover").count() == 1
+    (tmp_path / "bad.jsonl").write_text("[1]\n")
+    with pytest.raises(ValueError):
+        ledger(spark, str(tmp_path / "bad.jsonl"))
+    (tmp_path / "x.txt").write_text("short\n" + "y" * 20 + "\n")
+    assert [r.problem for r in raw_lines(spark, str(tmp_path / "x.txt"), 10, host="h").collect()] == [None, "too long"]
