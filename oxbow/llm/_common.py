@@ -37,9 +37,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def window_hashes(word_hashes: Column, doublings: int) -> Column:
     """Hashes of all windows of 2 ** doublings words, in order: each round hashes a window's hash with its neighbour's."""
+
+    def doubled(hashes: Column, step: int) -> Column:
+        # transform() hands an index to a function of two arguments, so step may not be a default of the inner one
+        return let(hashes, lambda h: F.transform(F.slice(h, F.lit(1), F.greatest(F.size(h) - step, F.lit(0))), lambda x, i: F.xxhash64(x, h[i + step])))
+
     for k in range(doublings):
-        step = 1 << k
-        word_hashes = let(word_hashes, lambda h, step=step: F.transform(F.slice(h, F.lit(1), F.greatest(F.size(h) - step, F.lit(0))), lambda x, i: F.xxhash64(x, h[i + step])))
+        word_hashes = doubled(word_hashes, 1 << k)
     return word_hashes
 
 

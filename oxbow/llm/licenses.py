@@ -4,7 +4,8 @@ All rolling word k-grams of all texts are joined by hash with the places of the
 A match at word d of the text and word t of the template votes for the diagonal d - t: a copied passage puts
 all its votes on one, and words put in or left out move it by a few.  Neighbouring diagonals, at most SHIFT apart, are
 merged to a span, which is verified by the share of its template's k-grams that voted for it, each counted once:
-COVERAGE at least.  Beside the method's labels stand those of the base phrases, which are found word by word.
+COVERAGE at least, and half of those that no template of another label has, so versions of one text are told apart.
+Beside the method's labels stand those of the base phrases, which are found word by word.
 
 Votes belong to texts, not rows: exact copies of a text are one key, pre-aggregated before the shuffle, and a
 diagonal keeps a set of template places, which the template bounds.
@@ -72,27 +73,30 @@ def _base(words: Column) -> Column:
 
 
 def templates(spark: SparkSession, table: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """template, label, grams (how many it has), place, gram of every k-gram of every template."""
+    """template, label, grams and owned (how many it has, and how many no other label has), place, gram, own of every k-gram of every template."""
     t = spark.createDataFrame([(n, label, text) for n, (label, text) in enumerate(table)], "template int, label string, text string")
     grams = window_hashes(F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)), DOUBLINGS)
     t = t.select("template", "label", grams.alias("g"))
-    return t.select("template", "label", F.size("g").alias("grams"), F.posexplode("g").alias("place", "gram"))
+    t = t.select("template", "label", F.size("g").alias("grams"), F.posexplode("g").alias("place", "gram"))
+    t = t.withColumn("own", F.size(F.collect_set("label").over(Window.partitionBy("gram"))) == 1)
+    return t.withColumn("owned", F.count_if("own").over(Window.partitionBy("template")))
 
 
 def spans(texts: DataFrame, table: DataFrame) -> DataFrame:
     """text_key, label, first, last (words, inclusive), coverage of each verified span; texts: text_key, grams."""
-    places = table.select("template", "place", F.col("gram").alias("t_gram"))
+    places = table.select("template", "place", "own", F.col("gram").alias("t_gram"))
     told = texts.select("text_key", F.posexplode("grams").alias("at", "gram"))
     hits = join_small(told, places, F.col("gram") == F.col("t_gram"), F.col("at"), "inner")
     by = ["text_key", "template"]
-    lines = hits.groupBy(*by, (F.col("at") - F.col("place")).alias("diagonal")).agg(F.min("at").alias("first"), F.max("at").alias("last"), F.collect_set("place").alias("places"))
+    lines = hits.groupBy(*by, (F.col("at") - F.col("place")).alias("diagonal")).agg(F.min("at").alias("first"), F.max("at").alias("last"), F.collect_set("place").alias("places"), F.collect_set(F.when(F.col("own"), F.col("place"))).alias("own_places"))
     order = Window.partitionBy(*by).orderBy("diagonal")
     lines = lines.withColumn("new", F.when(F.col("diagonal") - F.lag("diagonal").over(order) <= SHIFT, 0).otherwise(1))
     lines = lines.withColumn("span", F.sum("new").over(order))
-    merged = lines.groupBy(*by, "span").agg(F.min("first").alias("first"), (F.max("last") + K - 1).alias("last"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("voted"))
-    known = table.select(F.col("template").alias("t"), "label", "grams").distinct()
+    together = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
+    merged = lines.groupBy(*by, "span").agg(F.min("first").alias("first"), (F.max("last") + K - 1).alias("last"), together("places").alias("voted"), together("own_places").alias("own_voted"))
+    known = table.select(F.col("template").alias("t"), "label", "grams", "owned").distinct()
     merged = join_small(merged, known, F.col("template") == F.col("t"), F.col("text_key"), "inner")
-    return merged.withColumn("coverage", F.col("voted") / F.col("grams")).where(F.col("coverage") >= COVERAGE).select("text_key", "label", "first", "last", "coverage")
+    return merged.withColumn("coverage", F.col("voted") / F.col("grams")).where((F.col("coverage") >= COVERAGE) & (2 * F.col("own_voted") >= F.col("owned"))).select("text_key", "label", "first", "last", "coverage")
 
 
 def scan(docs: DataFrame, table: DataFrame) -> DataFrame:
