@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, fresh, join_small, let, read, stage, window_hashes
+from ._common import WORD, join_small, let, read, stage, window_hashes
 
 SYMBOLS = "#*$%&|<>"
 WINDOW, LEAST_WORDS, REPEATED_PERCENT = 8, 20, 30
@@ -74,7 +74,7 @@ def counts(text: Column) -> Column:
 
 def _level(measure: str) -> str:
     up, down, _, most = MEASURES[measure]
-    return f"cast(least({most}, floor(1000 * q.{up} / greatest(q.{down}, 1))) as int)"
+    return f"cast(least({most}, floor(1000 * rated.q.{up} / greatest(rated.q.{down}, 1))) as int)"
 
 
 def sketches(rated: DataFrame) -> DataFrame:
@@ -100,19 +100,17 @@ def fences(sketch: DataFrame) -> DataFrame:
     return q.groupBy("scope", "lang", "source").agg(F.sort_array(F.collect_list(F.struct("measure", fence.alias("fence")))).alias("f"), F.max("n").alias("n")).select("scope", "lang", "source", F.transform("f", lambda x: x["fence"]).alias("fences"), "n")
 
 
-def rate(docs: DataFrame, *keep: str) -> DataFrame:
-    """The columns keep of docs and, under names that clash with none, rated: a struct of counts, failed, levels, lang, source."""
-    (q,) = fresh(docs, "rated")
-    kept = [docs[c] for c in keep]
-    counted = docs.select(*kept, F.struct(counts(F.col("text")).alias("q"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source")).alias(q))
-    failed = F.expr(f"{q}.q.n_words < {LEAST_WORDS} or 100 * {q}.q.n_repeat_words > {REPEATED_PERCENT} * {q}.q.n_words")
-    levels = F.array(*[F.expr(_level(m).replace("q.", f"{q}.q.")) for m in MEASURES])
-    return counted.withColumn(q, F.struct(f"{q}.*", failed.alias("failed"), levels.alias("levels")))
+def rate(docs: DataFrame, keep: Column) -> DataFrame:
+    """keep, and rated: a struct of the counts q, lang, source, failed and levels, of each of docs."""
+    told = F.struct(counts(F.col("text")).alias("q"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
+    failed = F.expr(f"rated.q.n_words < {LEAST_WORDS} or 100 * rated.q.n_repeat_words > {REPEATED_PERCENT} * rated.q.n_words")
+    levels = F.array(*[F.expr(_level(m)) for m in MEASURES])
+    return docs.select(keep, told.alias("rated")).withColumn("rated", F.struct("rated.*", failed.alias("failed"), levels.alias("levels")))
 
 
-def verdicts(rated: DataFrame, q: str, spread: str) -> DataFrame:
+def verdicts(rated: DataFrame, spread: Column) -> DataFrame:
     """rated with a column verdict: true if no measure is beyond the fence of its group, or of the first wider one that is large enough."""
-    table = stage(fences(sketches(rated.where(f"{q}.q.n_words > 0").select(f"{q}.lang", f"{q}.source", f"{q}.levels"))), "fences")
+    table = stage(fences(sketches(rated.where("rated.q.n_words > 0").select("rated.lang", "rated.source", "rated.levels"))), "fences")
     own = table.where("scope = 0").select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), F.col("n").alias("f_n"), F.col("fences").alias("f_own"))
     lang = table.where("scope = 1").select(F.col("lang").alias("l_lang"), F.col("n").alias("l_n"), F.col("fences").alias("f_lang_f"))
     every = table.where("scope = 2").select(F.col("fences").alias("f_all"))
@@ -120,25 +118,25 @@ def verdicts(rated: DataFrame, q: str, spread: str) -> DataFrame:
     own = join_small(own, lang, F.col("f_lang").eqNullSafe(F.col("l_lang")), F.col("f_source"))
     chosen = F.when(F.col("f_n") >= LEAST_GROUP, F.col("f_own")).when(F.col("l_n") >= LEAST_GROUP, F.col("f_lang_f")).otherwise(F.col("f_all"))
     own = own.select("f_lang", "f_source", chosen.alias("f_fences"))
-    on = F.col(f"{q}.lang").eqNullSafe(F.col("f_lang")) & F.col(f"{q}.source").eqNullSafe(F.col("f_source"))
-    beyond = F.exists(F.arrays_zip(F.col(f"{q}.levels").alias("a"), F.col("f_fences").alias("b")), lambda x: F.coalesce(x["a"] > x["b"], F.lit(False)))
-    return join_small(rated, own, on, F.col(spread)).withColumn("verdict", ~beyond)
+    on = F.col("rated.lang").eqNullSafe(F.col("f_lang")) & F.col("rated.source").eqNullSafe(F.col("f_source"))
+    beyond = F.exists(F.arrays_zip(F.col("rated.levels").alias("a"), F.col("f_fences").alias("b")), lambda x: F.coalesce(x["a"] > x["b"], F.lit(False)))
+    return join_small(rated, own, on, spread).withColumn("verdict", ~beyond)
+
+
+GOOD = "not rated.failed and coalesce(verdict, true)"
 
 
 def rate_documents(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed and kept of each document."""
-    rated = stage(rate(docs.select("doc_id", "text", "lang", "source"), "doc_id"), "rated")
-    out = verdicts(rated, "_ox_rated", "doc_id")
-    failed = F.col("_ox_rated.failed")
-    return out.select("doc_id", *[F.col(f"_ox_rated.q.{c}").alias(c) for c in COUNTS], failed.alias("base_failed"), (~failed & F.coalesce(F.col("verdict"), F.lit(True))).alias("kept"))
+    rated = stage(rate(docs, F.col("doc_id")), "rated")
+    out = verdicts(rated, F.col("doc_id"))
+    return out.select("doc_id", *[F.col(f"rated.q.{c}").alias(c) for c in COUNTS], F.col("rated.failed").alias("base_failed"), F.expr(GOOD).alias("kept"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows and columns of docs that the base rule and the method keep."""
-    (q,) = fresh(docs, "rated")
-    rated = stage(rate(docs, *docs.columns), "rated")
-    out = verdicts(rated, q, "doc_id")
-    return out.where(~F.col(f"{q}.failed") & F.coalesce(F.col("verdict"), F.lit(True))).select(*[rated[c] for c in docs.columns])
+    rated = stage(rate(docs, F.struct(*[docs[c] for c in docs.columns]).alias("doc")), "rated")
+    return verdicts(rated, F.col("doc.doc_id")).where(GOOD).select("doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
