@@ -7,8 +7,8 @@ space lies between; and skip edges between tokens that are the same or similar (
 punctuation; equal digits, seven at least; equal part before the at sign).  Skip edges link a key's occurrences in
 turn, so a document has at most three for each node.  Nodes inside base spans are observed.  Loopy belief propagation, damped,
 passes messages along all edges for at most ROUNDS rounds; a node whose likeliest label is a kind, with at
-least LEAST probability, gives a span of that kind if it overlaps no other: so a number that a pattern finds in one
-place is also found where it is written otherwise.
+least LEAST probability, gives a span of that kind if skip edges lead from it to an observed one: so a number that a
+pattern finds in one place is also found where it is written otherwise, and shapes alone add nothing.
 
 The field is trained piecewise: softmax weights by gradient descent, transitions and skip potentials from
 smoothed counts.  The labels are the base spans themselves (so no labelled data is needed), over at most TRAIN_DOCS
@@ -124,6 +124,14 @@ class Nodes:
                     self.skip.append((keys[key], i))
                 keys[key] = i
 
+    def carried(self) -> np.ndarray:
+        """Whether skip edges lead from a node to one inside a base span; edges go from left to right, key by key."""
+        out, before = self.inside.copy(), -1
+        while before != (before := int(out.sum())):
+            for i, j in [*self.skip, *reversed(self.skip)]:
+                out[i] = out[j] = out[i] or out[j]
+        return out
+
     def features(self) -> np.ndarray:
         x = np.zeros((len(self.at), _FEATURES), np.float32)
         for i, w in enumerate(self.words):
@@ -213,7 +221,7 @@ class Field:
         p = self.beliefs(nodes)
         best = p.argmax(1)
         added = []
-        for i in np.flatnonzero(~nodes.inside & (best > 0)):
+        for i in np.flatnonzero(~nodes.inside & nodes.carried() & (best > 0)):
             if p[i, best[i]] >= LEAST and nodes.words[i]:
                 a = text.index(nodes.words[i], nodes.at[i][0])
                 added.append((a, int(best[i]) - 1, a + len(nodes.words[i])))

@@ -103,7 +103,7 @@ def test_leaks_equal_brute_force(spark, documents):
     longest = max(items, key=lambda x: len(x[1].split()))
     changed = longest[1].split()
     changed[0] = "other"
-    docs = [*documents[:120], (9001, f"before {copied.upper()} after"), (9002, "x y " + " ".join(changed) + " z"), (9003, " ".join(longest[1].split()[::-1]))]
+    docs = [*documents[:40], (9001, f"before {copied.upper()} after"), (9002, "x y " + " ".join(changed) + " z"), (9003, " ".join(longest[1].split()[::-1]))]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {(r.doc_id, r.item_id): (r.first_word, round(r.similarity, 9)) for r in decontaminate.leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
     want = {}
@@ -244,12 +244,11 @@ def test_mix_reaches_targets(spark):
     total = sum(r["size"] for r in rows)
     assert 0.98 * total <= sum(r.taken for r in rows) <= total
     assert all(r.taken % max(1, r["size"]) == 0 and r.taken <= 3 * r["size"] for r in rows)
-    goals = {r.target for r in rows}
     by = Counter()
-    for r in rows:
-        by[r.target] += r.taken
+    for r in rows:  # a source is known by its size; several have the same target
+        by[r.source_size, r.target] += r.taken
     largest = max(r["size"] for r in rows)
-    assert all(abs(by[g] - g) <= largest + 0.05 * g for g in goals)
+    assert all(abs(taken - target) <= largest + 0.05 * target for (_, target), taken in by.items())
 
 
 # --- toxicity ---
