@@ -5,7 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,16 +80,31 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def staged_here() -> Iterator[list[tuple[SparkSession, str]]]:
+    """A list that holds, at the end of the block, the tables staged inside it."""
+    made: list[tuple[SparkSession, str]] = []
+    n = len(_staged)
+    yield made
+    made += _staged[n:]
+
+
+def drop_staged(tables: list[tuple[SparkSession, str]]) -> None:
+    """Deletes staged tables that nothing will read again."""
+    for spark, path in tables:
+        sc = spark.sparkContext
+        if sc._jsc is not None and not sc._jsc.sc().isStopped():
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+    _staged[:] = [x for x in _staged if x not in tables]
+
+
 @atexit.register
-def _drop_staged() -> None:
-    for spark, path in _staged:
-        try:
-            sc = spark.sparkContext
-            if sc._jsc is not None and not sc._jsc.sc().isStopped():
-                at = sc._jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # noqa: BLE001  the session is going; the cluster's clean-up of its folder remains
-            return
+def _at_end() -> None:
+    try:
+        drop_staged(list(_staged))
+    except Exception:  # noqa: BLE001  the session is going; the cluster's clean-up of its folder remains
+        return
 
 
 def join_small(left: DataFrame, right: DataFrame, on: Column, spread: Column, how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
