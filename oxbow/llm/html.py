@@ -2,14 +2,17 @@
 
 The page is cut into blocks at block-level tags.  The first pass classifies each block by its container, link
 density, length and stop-word density: blocks in navigation, headers, footers, sidebars, notices, adverts, forms and
-reader comments, and blocks of links, are bad; long blocks with many stop words, and blocks of the article's own
-container that are neither, are good; long ones with few stop words are bad outside of it; short ones are
-ambiguous: near-good or short.  The second pass gives each ambiguous block the class of its nearest decided
+reader comments, and blocks of links, are bad; long blocks with many stop words are good, ones with few are bad;
+others are ambiguous: near-good or short.  The second pass gives each ambiguous block the class of its nearest decided
 neighbours: good between two good ones; between a good and a bad one the nearer one's, near-good blocks
 counting as good; headings take the class of what follows.
 
-Where a page has an article (or main) element its blocks are decided by container and links alone: inside it short
-headings, bylines and lists belong to the text, and stop words tell nothing about languages the lists lack.
+An article (or main) element is one feature among these: its blocks are one class better (bad, short, near-good, good)
+than their length and stop words say, and their neighbours are the article's other blocks, its ends counting as good.
+Blocks outside of it are classified like those of any page.
+
+Where under STOP_LOW of the words of a page's candidate blocks are stop words, the lists lack its language and tell
+nothing: length and links decide there.
 
 The parser is one pass of a regular expression over tags; unclosed tags end with their container, as block starts close open
 paragraphs.  Character references are decoded, white space inside a block becomes one space, blocks are trimmed and
@@ -54,6 +57,8 @@ _BAD_NAME = re.compile(
     r"breadcrumbs?|footer|masthead|site-?header|page-?header|topbar|toolbar|comments?|disqus|respond|replies|share|sharing|social|related|recommend\w*|popup|modal|overlay|pagination|pager|tags|tagcloud|skip-?link|search\w*)(?=$|[\s_-])",
     re.I,
 )
+#: What an article's block is instead of what its length and stop words say.
+_LIFTED = {"bad": "short", "short": "neargood", "neargood": "good", "good": "good"}
 _HEADING = re.compile("h[1-6]$")
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -163,23 +168,45 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
+def _density(b: Block) -> float:
+    return b.links / max(1, len(b.text))
+
+
+def _stop_words(text: str) -> tuple[int, int]:
+    """How many of the text's words are stop words, and how many words it has."""
+    words = _WORDS.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words), len(words)
+
+
 def _first_pass(blocks: list[Block]) -> None:
-    framed = any(b.article and not b.bad for b in blocks)
-    for b in blocks:
-        dense = b.links / max(1, len(b.text))
+    counts = [(0, 0) if b.bad or _density(b) > LINK_DENSITY else _stop_words(b.text) for b in blocks]
+    listed = sum(s for s, _ in counts) >= STOP_LOW * sum(n for _, n in counts)
+    for b, (s, n) in zip(blocks, counts, strict=True):
+        dense = _density(b)
         if b.bad or (dense > LINK_DENSITY and not b.heading):
             b.verdict = "bad"
-        elif framed:
-            b.verdict = "good" if b.article else "bad"
+            continue
+        stop = s / max(1, n) if listed else 1.0
+        if len(b.text) < SHORT:
+            b.verdict = "short" if dense == 0 or b.article else "bad"
+        elif stop >= STOP_HIGH:
+            b.verdict = "good" if len(b.text) > LONG else "neargood"
         else:
-            words = _WORDS.findall(b.text.lower())
-            stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-            if len(b.text) < SHORT:
-                b.verdict = "short" if dense == 0 else "bad"
-            elif stop >= STOP_HIGH:
-                b.verdict = "good" if len(b.text) > LONG else "neargood"
-            else:
-                b.verdict = "neargood" if stop >= STOP_LOW else "bad"
+            b.verdict = "neargood" if stop >= STOP_LOW else "bad"
+        if b.article:
+            b.verdict = _LIFTED[b.verdict]
+
+
+def _neighbours(blocks: list[Block], told: list[str], edge: str) -> Iterator[tuple[tuple[str, int], tuple[str, int]]]:
+    """The class of, and the characters to, the nearest decided block before and after each."""
+    sides = []
+    for way in (1, -1):
+        side, last = [], (edge, 0)
+        for b, t in zip(blocks[::way], told[::way], strict=True):
+            last = (t, 0) if t else (last[0], last[1] + len(b.text))
+            side.append(last)
+        sides.append(side[::way])
+    return zip(*sides, strict=True)
 
 
 def _second_pass(blocks: list[Block]) -> None:
@@ -189,29 +216,21 @@ def _second_pass(blocks: list[Block]) -> None:
         told = ["good" if b.verdict == "neargood" else t for b, t in zip(blocks, told, strict=True)]
         if "good" not in told:
             told = ["good" if b.verdict == "short" else t for b, t in zip(blocks, told, strict=True)]
-    n, before, after = len(blocks), [], []
-    last = ("bad", 0)
-    for b, t in zip(blocks, told, strict=True):
-        last = (t, 0) if t else (last[0], last[1] + len(b.text))
-        before.append(last)
-    last = ("bad", 0)
-    for b, t in zip(reversed(blocks), reversed(told), strict=True):
-        last = (t, 0) if t else (last[0], last[1] + len(b.text))
-        after.append(last)
-    after.reverse()
-    for k in range(n):
-        if told[k]:
-            blocks[k].verdict = told[k]
-            continue
-        (up, far_up), (down, far_down) = before[k], after[k]
-        if up == down:
-            blocks[k].verdict = up
-        elif blocks[k].heading:
-            blocks[k].verdict = "good" if down == "good" and far_down <= NEAREST + len(blocks[k].text) else "bad"
-        elif blocks[k].verdict == "neargood":
-            blocks[k].verdict = "good"
+    around = list(_neighbours(blocks, told, "bad"))
+    inside = [k for k, b in enumerate(blocks) if b.article and not b.bad]
+    for k, x in zip(inside, _neighbours([blocks[k] for k in inside], [told[k] for k in inside], "good"), strict=True):
+        around[k] = x
+    for b, t, ((up, far_up), (down, far_down)) in zip(blocks, told, around, strict=True):
+        if t:
+            b.verdict = t
+        elif up == down:
+            b.verdict = up
+        elif b.heading:
+            b.verdict = "good" if down == "good" and (b.article or far_down <= NEAREST + len(b.text)) else "bad"
+        elif b.verdict == "neargood":
+            b.verdict = "good"
         else:
-            blocks[k].verdict = up if far_up <= far_down else down
+            b.verdict = up if far_up <= far_down else down
 
 
 def main_text(page: str | None) -> str:
