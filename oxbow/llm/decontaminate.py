@@ -8,7 +8,8 @@ within RADIUS.  Candidates are verified by the weighted Jaccard similarity of th
 as often as they occur: a leak has SIMILARITY or more.
 
 A window that has no shingle in common with an item has similarity 0 to it, whatever its fingerprint.  So windows are
-only fingerprinted around a shared shingle; the other windows' search could find nothing.
+only fingerprinted around a shared shingle; the other windows' search could find nothing.  A whole document that is shorter
+than an item is verified without a fingerprint, against all items that share a shingle with it.
 
 Items come in blocks of bounded size; each block's index goes to all tasks, and each task reads its documents
 whole.  There is no shuffle.
@@ -121,6 +122,8 @@ class Index:
                     for size in {len(self.items[i][1]) for i in self.by_shingle[s]}:
                         places.setdefault(size, []).append(at)
         best: dict[int, tuple[float, int]] = {}
+        if any(size > len(words) for size in places):
+            best |= {i: (s, 0) for i, s in self._whole(words)}
         for size, at in places.items():
             for lo, hi in _runs(at, size, len(words)):
                 for start in range(lo, hi, CHUNK):
@@ -130,7 +133,20 @@ class Index:
                         s = similarity(shingles(words[start + w : start + w + size]), self.items[i][2])
                         if s >= SIMILARITY and (i not in best or s > best[i][0]):
                             best[i] = (s, start + w)
-        return [(i, at, len(self.items[i][1]), s) for i, (s, at) in sorted(best.items())]
+        return [(i, at, min(len(words), len(self.items[i][1])), s) for i, (s, at) in sorted(best.items())]
+
+    def _whole(self, words: list[str]) -> Iterator[tuple[int, float]]:
+        """(item's place, similarity) of the longer items that the words, all of a document's, leak."""
+        mine = shingles(words)
+        shared: Counter = Counter()
+        for k, n in mine.items():
+            for i in self.by_shingle.get(k, ()):
+                if len(words) < len(self.items[i][1]) and mine.total() / self.items[i][2].total() >= SIMILARITY:
+                    shared[i] += min(n, self.items[i][2][k])
+        for i, both in shared.items():
+            s = both / (mine.total() + self.items[i][2].total() - both)
+            if s >= SIMILARITY:
+                yield i, s
 
 
 def _runs(at: list[int], size: int, n: int) -> list[tuple[int, int]]:

@@ -1,6 +1,9 @@
 """Cases in which an operator once did less than its whole job."""
 
-from oxbow.llm import html
+import pytest
+from conftest import SMALL
+
+from oxbow.llm import decontaminate, html
 
 ENGLISH = "There is a story that was told of the old man and the sea, and it was the best that he had for all of them that are in the town. " * 2
 FINNISH = "Vanha kalastaja kertoi kylän lapsille tarinan merestä, jossa suuret kalat uivat syvällä ja myrskyt kaatoivat veneitä joka syksy. " * 2
@@ -19,3 +22,38 @@ def test_unlisted_languages_need_no_stop_words():
     assert html.main_text(page) == f"{FINNISH.strip()}\nNiin se oli.\n{FINNISH.strip()}"
     beside = f"<body><article><p>Kortti</p></article><div>{FINNISH}</div></body>"
     assert FINNISH.strip() in html.main_text(beside)
+
+
+def brute_leaks(text, items):
+    """As leaks(), over all windows of min(size of the item, words of the text) words."""
+    w, out = decontaminate.words_of(text), []
+    for i, (_, x) in enumerate(items):
+        iw = decontaminate.words_of(x)
+        size = min(len(iw), len(w))
+        found = [(decontaminate.similarity(decontaminate.shingles(w[k : k + size]), decontaminate.shingles(iw)), -k) for k in range(len(w) - size + 1)] if size else []
+        if found and max(found)[0] >= decontaminate.SIMILARITY:
+            out.append((i, -max(found)[1], size, max(found)[0]))
+    return out
+
+
+@pytest.mark.parametrize("words", [5, 9, 10, 50])
+def test_documents_shorter_than_an_item(words):
+    items = [(1, " ".join(f"w{k}" for k in range(words))), (2, " ".join(["again and"] * words)), (3, "w0 w1"), (4, " ".join(f"w{k}" for k in range(3 * words)))]
+    index = decontaminate.Index(items)
+    for less in range(words):
+        for lo in (0, less // 2, less):
+            for _, x in items:
+                w = x.split()
+                text = " ".join(w[lo : len(w) - (less - lo)])
+                assert index.leaks(text) == brute_leaks(text, items)
+    assert [x[0] for x in index.leaks(" ".join(f"w{k}" for k in range(words - 1)))] == ([0, 2] if words >= 9 else [2])
+
+
+def test_shortened_items_leak(spark):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    docs = [(k, " ".join(decontaminate.words_of(t)[lo : -hi or None])) for k, (_, t) in enumerate(items) for lo, hi in ((1, 0), (0, 2), (2, 1), (0, 9))]
+    df, table = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.first_word, r.n_words, r.similarity) for r in decontaminate.leaks(df, table).collect())
+    want = [[(items[i][0], *x) for i, *x in brute_leaks(t, items)] for _, t in docs]
+    assert got == sorted((d, *x) for (d, _), found in zip(docs, want, strict=True) for x in found)
+    assert decontaminate.clean(df, table).count() == sum(not x for x in want) < len(docs)
