@@ -5,8 +5,10 @@ digit or an at sign, all others are clamped to "no entity", as no entity lacks b
 the four kinds.  Its potentials: a softmax of its shape's features; transitions to the next node where only white
 space lies between; and skip edges between tokens that are the same or similar (equal but for case and outer
 punctuation; equal digits, seven at least; equal part before the at sign).  Skip edges link a key's occurrences in
-turn, so a document has at most three for each node.  Nodes inside base spans are observed.  Loopy belief propagation, damped,
-passes messages along all edges for at most ROUNDS rounds; a node whose likeliest label is a kind, with at
+turn, and each occurrence to the key's nearest observed ones before and after it, so its distance to them does not matter and
+a document has at most nine for each node.  Nodes inside base spans are observed.  Loopy belief propagation, damped,
+passes messages along all edges until they converge, for at most ROUNDS rounds for each node of the longest chain of skip
+edges that leads to an observed node; a node whose likeliest label is a kind, with at
 least LEAST probability, gives a span of that kind if skip edges lead from it to an observed one: so a number that a
 pattern finds in one place is also found where it is written otherwise, and shapes alone add nothing.
 
@@ -23,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,8 @@ from ._common import fresh, read
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, DAMP, LEAST = 10, 0.5, 0.6
 TRAIN_DOCS, TRAIN_CHARS, TRAIN_STEPS = 1000, 20_000, 150
+#: The logarithm of another label's potential at an observed node, which however many edges cannot outweigh.
+OBSERVED = -1e9
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -109,8 +114,7 @@ class Nodes:
             if k < len(base) and base[k][0] < b:
                 self.label[i], self.inside[i] = base[k][1] + 1, True
         self.next = [(i, i + 1) for i in range(n - 1) if found[i + 1][0] - found[i][1] <= 1 and text[found[i][1] : found[i + 1][0]].isspace()]
-        keys: dict[tuple, int] = {}
-        self.skip: list[tuple[int, int]] = []
+        keys: dict[tuple, list[int]] = {}
         self.words = [text[a:b].strip(_OUTER) for a, b in found]
         for i, w in enumerate(self.words):
             digits = _NOT_DIGIT.sub("", w)
@@ -120,16 +124,32 @@ class Nodes:
             if "@" in w and len(name := w.partition("@")[0]) >= 3:
                 own |= {("w", name.lower())}
             for key in own:
-                if key in keys:
-                    self.skip.append((keys[key], i))
-                keys[key] = i
-
-    def carried(self) -> np.ndarray:
-        """Whether skip edges lead from a node to one inside a base span; edges go from left to right, key by key."""
-        out, before = self.inside.copy(), -1
-        while before != (before := int(out.sum())):
-            for i, j in [*self.skip, *reversed(self.skip)]:
-                out[i] = out[j] = out[i] or out[j]
+                keys.setdefault(key, []).append(i)
+        self.skip = sorted(x for at in keys.values() for x in pairwise(at))
+        #: Skip edges over occurrences that lie between, to observed ones.
+        self.far = sorted(x for at in keys.values() for x in self._far(at))
+
+    def _far(self, at: list[int]) -> Iterator[tuple[int, int]]:
+        for way in (at, at[::-1]):
+            seen = None  # the place in way of the last observed occurrence
+            for k, i in enumerate(way):
+                if self.inside[i]:
+                    seen = k
+                elif seen is not None and seen < k - 1:
+                    yield way[seen], i
+
+    def hops(self) -> np.ndarray:
+        """How many skip edges lead from a node to the nearest one inside a base span; -1 if none do."""
+        beside: dict[int, list[int]] = {}
+        for i, j in [*self.skip, *self.far]:
+            beside.setdefault(i, []).append(j)
+            beside.setdefault(j, []).append(i)
+        out = np.where(self.inside, 0, -1)
+        edge, far = np.flatnonzero(self.inside).tolist(), 0
+        while edge:
+            far += 1
+            edge = sorted({j for i in edge for j in beside.get(i, ()) if out[j] < 0})
+            out[edge] = far
         return out
 
     def features(self) -> np.ndarray:
@@ -181,21 +201,22 @@ class Field:
             counts /= counts.sum()
             np.log(counts / (counts.sum(1, keepdims=True) * counts.sum(0, keepdims=True)), out=counts)
 
-    def beliefs(self, nodes: Nodes) -> np.ndarray:
-        """Each node's label probabilities, by loopy message passing."""
+    def beliefs(self, nodes: Nodes, hops: np.ndarray) -> np.ndarray:
+        """Each node's label probabilities, by loopy message passing; hops as the nodes' own."""
         labels = len(KINDS) + 1
         unary = nodes.features() @ self.weights
-        unary = np.where(nodes.inside[:, None], np.where(np.arange(labels) == nodes.label[:, None], 0.0, -50.0), unary)
-        edges = nodes.next + nodes.skip
+        unary = np.where(nodes.inside[:, None], np.where(np.arange(labels) == nodes.label[:, None], 0.0, OBSERVED), unary)
+        skip = nodes.skip + nodes.far
+        edges = nodes.next + skip
         if not edges:
             return _softmax(unary)
-        pots = np.array([self.step] * len(nodes.next) + [self.skip] * len(nodes.skip))
+        pots = np.array([self.step] * len(nodes.next) + [self.skip] * len(skip))
         a, b = np.array(edges).T
         src, dst = np.r_[a, b], np.r_[b, a]
         pot = np.concatenate([pots, pots.transpose(0, 2, 1)])
         back = np.r_[np.arange(len(a), 2 * len(a)), np.arange(len(a))]
         msg = np.zeros((len(src), labels))
-        for _ in range(ROUNDS):
+        for _ in range(ROUNDS * (1 + int(hops.max()))):
             total = unary.copy()
             np.add.at(total, dst, msg)
             out = (total[src] - msg[back])[:, :, None] + pot
@@ -218,10 +239,13 @@ class Field:
         nodes = Nodes(text, base)
         if nodes.inside.all() or not nodes.skip:
             return base, base
-        p = self.beliefs(nodes)
+        hops = nodes.hops()
+        if hops.max() < 1:
+            return base, base
+        p = self.beliefs(nodes, hops)
         best = p.argmax(1)
         added = []
-        for i in np.flatnonzero(~nodes.inside & nodes.carried() & (best > 0)):
+        for i in np.flatnonzero((hops > 0) & (best > 0)):
             if p[i, best[i]] >= LEAST and nodes.words[i]:
                 a = text.index(nodes.words[i], nodes.at[i][0])
                 added.append((a, int(best[i]) - 1, a + len(nodes.words[i])))

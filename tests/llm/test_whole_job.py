@@ -3,7 +3,7 @@
 import pytest
 from conftest import SMALL
 
-from oxbow.llm import decontaminate, html
+from oxbow.llm import decontaminate, html, pii
 
 ENGLISH = "There is a story that was told of the old man and the sea, and it was the best that he had for all of them that are in the town. " * 2
 FINNISH = "Vanha kalastaja kertoi kylän lapsille tarinan merestä, jossa suuret kalat uivat syvällä ja myrskyt kaatoivat veneitä joka syksy. " * 2
@@ -57,3 +57,24 @@ def test_shortened_items_leak(spark):
     want = [[(items[i][0], *x) for i, *x in brute_leaks(t, items)] for _, t in docs]
     assert got == sorted((d, *x) for (d, _), found in zip(docs, want, strict=True) for x in found)
     assert decontaminate.clean(df, table).count() == sum(not x for x in want) < len(docs)
+
+
+def test_labels_reach_every_occurrence_of_a_key():
+    # a field in which twelve digits alone are no entity
+    orders = [f"order {10**11 + 7919 * k * k} and {10**11 + 104729 * k} of box" + f" code {10**11 + 31 * k}" * (8 * (k % 3 == 0)) + f" call +4917012{k:05d} or +4917012{k:05d}" for k in range(300)]
+    field = pii.Field(orders)
+    for n in (3, 12, 40, 1000):
+        later = " and ".join(["491701234567"] * n)
+        for text in (f"call +491701234567 and {later}", f"{later} and +491701234567 now"):
+            base, spans = field.spans(text)
+            assert (len(base), len(spans)) == (1, n + 1)
+            assert "4917" not in pii._hidden(field, text)
+    assert field.spans("order 491701234567 and 491701234567") == ([], [])
+
+
+def test_many_occurrences_do_not_outvote_an_observed_one():
+    text = "+491701234567 " + "x 491701234567 y " * 2000
+    field = pii.Field([])
+    nodes = pii.Nodes(text, pii.base_spans(text))
+    assert field.beliefs(nodes, nodes.hops())[0].argmax() == 1 + pii.KINDS.index("phone")
+    assert nodes.hops().tolist() == [0] + [1] * 2000
