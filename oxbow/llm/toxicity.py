@@ -5,7 +5,7 @@ characters with its ends marked.  A passage, of PASSAGE words, is the mean of it
 n-grams' embeddings; a linear softmax over that tells the classes.  Embeddings and softmax are trained together, by
 Adagrad, so a misspelling, or a word never seen, shares the vectors of its n-grams.  A word right after itself counts once.
 
-A text's score is that of its most toxic passage, so one passage in a long text is not averaged away.  In training a
+A text's score is that of its most toxic passage, of those that start at any of its words, so one passage in a long text is not averaged away.  In training a
 labelled text stands for passages of its own: at first one at random, later the most toxic one by the model so far
 (multiple-instance learning: one positive passage makes a text positive).
 
@@ -160,9 +160,9 @@ def _word_means(told: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
 
 
 def _passages(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where passages start, half a passage apart, and their means."""
+    """Where passages start, at every word that a whole one fits after, and their means."""
     n = len(words)
-    starts = np.unique(np.r_[np.arange(0, max(1, n - PASSAGE), PASSAGE // 2), max(0, n - PASSAGE)])
+    starts = np.arange(max(1, n - PASSAGE + 1))
     sums = np.r_[0, np.cumsum(words)]
     return starts, (sums[np.minimum(starts + PASSAGE, n)] - sums[starts]) / min(max(n, LEAST_WORDS), PASSAGE)
 

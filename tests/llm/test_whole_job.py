@@ -1,9 +1,10 @@
 """Cases in which an operator once did less than its whole job."""
 
+import numpy as np
 import pytest
 from conftest import SMALL
 
-from oxbow.llm import decontaminate, html, pii
+from oxbow.llm import decontaminate, html, pii, toxicity
 
 ENGLISH = "There is a story that was told of the old man and the sea, and it was the best that he had for all of them that are in the town. " * 2
 FINNISH = "Vanha kalastaja kertoi kylän lapsille tarinan merestä, jossa suuret kalat uivat syvällä ja myrskyt kaatoivat veneitä joka syksy. " * 2
@@ -78,3 +79,17 @@ def test_many_occurrences_do_not_outvote_an_observed_one():
     nodes = pii.Nodes(text, pii.base_spans(text))
     assert field.beliefs(nodes, nodes.hops())[0].argmax() == 1 + pii.KINDS.index("phone")
     assert nodes.hops().tolist() == [0] + [1] * 2000
+
+
+def test_a_passage_counts_wherever_it_starts():
+    told = np.zeros(toxicity.BUCKETS)
+    bad = [f"zq{chr(97 + k)}xw" for k in range(20)] * 2
+    told[toxicity.grams_of(" ".join(bad))[0]] = 2.0
+    scorer = toxicity.Scorer(told, -1.0, None)
+    clean = [f"{chr(97 + k % 20)}bcd" for k in range(200)]
+    whole = scorer.score(" ".join(bad))
+    assert whole > 0.7
+    for start in range(50):
+        assert scorer.score(" ".join([*clean[:start], *bad, *clean[start:]])) == pytest.approx(whole)
+        marks = np.r_[np.zeros(start), np.ones(toxicity.PASSAGE), np.zeros(90)]
+        assert toxicity._worst(marks) == start
