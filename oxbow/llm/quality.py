@@ -1,11 +1,18 @@
 """Quality rules whose thresholds come from mergeable quantile sketches per language and source.
 
 Every text gives counts (n_words, n_symbols, ...) and from them a few measures in whole thousandths.  A sketch is
-a map from the measure's value to its count: adding two sketches merges them, whatever the order, and a quantile
-read from one is exact to a thousandth.  Sketches are kept per (language, source), and merged per language and
-over all documents, for groups too small to set thresholds of their own.  A document is rejected if a measure lies
-beyond its group's upper fence, q75 + FENCE * max(q75 - q25, the measure's least spread).  Everything is DataFrame
-expressions; sketches have at most LEVELS + 1 entries for each group and measure.
+a map from cells of a measure's values to counts: a value under 128 is its own cell, a larger one's cell keeps its
+seven highest bits, so a sketch has at most 64 cells for each doubling and tells values to within 1/64, however large
+they are.  Adding two sketches merges them, whatever the order.  Sketches are kept per (language, source), and
+merged per language and over all documents, for groups too small to set thresholds of their own.
+
+A document is rejected if a measure lies beyond its group's fences.  These are read from the sketch alone: the 90 %
+quantile and FENCE times its distance from the median upwards, the 10 % quantile and FENCE times its distance from
+the median downwards; a distance of 0 counts as a thousandth.  Measures of rare things have no lower fence.
+Everything is DataFrame expressions.
+
+Duplicate lines and repeated windows are counted but have no fence: most texts hold none, so a quantile of theirs
+would reject every text that has one.  The base rule judges repeated windows.
 
 Defined results: a null or empty text has no words and fails the base rule.  Null languages and sources are
 groups like any other.  Repeated rows count, and are judged, one by one.  An empty table gives no rows.
@@ -20,16 +27,16 @@ from ._common import WORD, join_small, let, read, stage, window_hashes
 
 SYMBOLS = "#*$%&|<>"
 WINDOW, LEAST_WORDS, REPEATED_PERCENT = 8, 20, 30
-#: Measure: its numerator and denominator, its least spread in thousandths, and the largest level that is told apart.
+POINTS = ".,;:!?"
+#: Measure: its numerator and denominator, and whether it has a lower fence.
 MEASURES = {
-    "symbols": ("n_symbols", "n_words", 40, 2000),
-    "dup_lines": ("n_dup_lines", "n_lines", 200, 1000),
-    "repeats": ("n_repeat_words", "n_words", 100, 1000),
-    "capitals": ("n_capitals", "word_chars", 60, 1000),
-    "marks": ("n_marks", "n_words", 150, 2000),
-    "stutter": ("n_stutter", "n_words", 60, 1000),
+    "symbols": ("n_symbols", "n_words", False),
+    "stutter": ("n_stutter", "n_words", False),
+    "capitals": ("n_capitals", "word_chars", True),
+    "points": ("n_points", "n_words", True),
+    "word_length": ("word_chars", "n_words", True),
 }
-FENCE, QUARTILES, LEAST_GROUP = 3, (25, 75), 100
+FENCE, QUANTILES, LEAST_GROUP, CELL_BITS = 4, (10, 50, 90), 100, 7
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -62,9 +69,8 @@ def counts(text: Column) -> Column:
                 F.regexp_count(t, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
                 (F.size(s["l"]) - F.size(F.array_distinct(s["l"]))).cast("long").alias("n_dup_lines"),
                 _repeat_words(s["w"]).cast("long").alias("n_repeat_words"),
-                F.size(s["l"]).cast("long").alias("n_lines"),
                 F.regexp_count(t, F.lit(r"\p{Lu}")).cast("long").alias("n_capitals"),
-                F.regexp_count(t, F.lit("[!?]")).cast("long").alias("n_marks"),
+                F.regexp_count(t, F.lit(f"[{POINTS}]")).cast("long").alias("n_points"),
                 F.size(F.filter(s["w"], lambda x, i: x == F.get(s["w"], i - 1))).cast("long").alias("n_stutter"),
             ),
         )
@@ -73,31 +79,38 @@ def counts(text: Column) -> Column:
 
 
 def _level(measure: str) -> str:
-    up, down, _, most = MEASURES[measure]
-    return f"cast(least({most}, floor(1000 * rated.q.{up} / greatest(rated.q.{down}, 1))) as int)"
+    up, down, _ = MEASURES[measure]
+    return f"1000 * rated.q.{up} div greatest(rated.q.{down}, 1)"
+
+
+def _cell(level: str) -> str:
+    """The lowest value of a level's cell, in SQL that Spark and DuckDB share."""
+    drop = f"greatest(length(bin({level})) - {CELL_BITS}, 0)"
+    return f"(({level} >> {drop}) << {drop})"
 
 
 def sketches(rated: DataFrame) -> DataFrame:
-    """scope (0 group, 1 language, 2 all), lang, source, measure, level, n; rated: lang, source, levels array."""
-    told = rated.select("lang", "source", F.posexplode("levels").alias("measure", "level"))
-    own = told.groupBy("lang", "source", "measure", "level").agg(F.count("*").alias("n")).withColumn("scope", F.lit(0))
-    lang = own.groupBy("lang", "measure", "level").agg(F.sum("n").alias("n")).withColumn("scope", F.lit(1)).withColumn("source", F.lit(None).cast("string"))
-    every = lang.groupBy("measure", "level").agg(F.sum("n").alias("n")).withColumn("scope", F.lit(2)).withColumn("source", F.lit(None).cast("string")).withColumn("lang", F.lit(None).cast("string"))
+    """scope (0 group, 1 language, 2 all), lang, source, measure, cell, n; rated: lang, source, levels array."""
+    told = rated.select("lang", "source", F.posexplode("levels").alias("measure", "level")).withColumn("cell", F.expr(_cell("level")))
+    own = told.groupBy("lang", "source", "measure", "cell").agg(F.count("*").alias("n")).withColumn("scope", F.lit(0))
+    lang = own.groupBy("lang", "measure", "cell").agg(F.sum("n").alias("n")).withColumn("scope", F.lit(1)).withColumn("source", F.lit(None).cast("string"))
+    every = lang.groupBy("measure", "cell").agg(F.sum("n").alias("n")).withColumn("scope", F.lit(2)).withColumn("source", F.lit(None).cast("string")).withColumn("lang", F.lit(None).cast("string"))
     return own.unionByName(lang).unionByName(every)
 
 
 def fences(sketch: DataFrame) -> DataFrame:
-    """scope, lang, source, fences (array by measure), n: read from the merged sketches."""
+    """scope, lang, source, fences (array of lo and hi by measure), n: read from the merged sketches."""
     by = ["scope", "lang", "source", "measure"]
-    up = Window.partitionBy(*by).orderBy("level")
-    all_n = F.sum("n").over(Window.partitionBy(*by))
-    reached = F.sum("n").over(up)
-    q = sketch.select(*by, "level", reached.alias("reached"), all_n.alias("all_n"))
-    lo, hi = (F.min(F.when(F.col("reached") * 100 >= F.col("all_n") * p, F.col("level"))) for p in QUARTILES)
-    q = q.groupBy(*by).agg(lo.alias("lo"), hi.alias("hi"), F.max("all_n").alias("n"))
-    least = F.array(*[F.lit(x[2]) for x in MEASURES.values()])
-    fence = F.col("hi") + FENCE * F.greatest(F.col("hi") - F.col("lo"), least[F.col("measure")])
-    return q.groupBy("scope", "lang", "source").agg(F.sort_array(F.collect_list(F.struct("measure", fence.alias("fence")))).alias("f"), F.max("n").alias("n")).select("scope", "lang", "source", F.transform("f", lambda x: x["fence"]).alias("fences"), "n")
+    reached = F.sum("n").over(Window.partitionBy(*by).orderBy("cell"))
+    q = sketch.select(*by, "cell", reached.alias("reached"), F.sum("n").over(Window.partitionBy(*by)).alias("all_n"))
+    at = [F.min(F.when(F.col("reached") * 100 >= F.col("all_n") * p, F.col("cell"))).alias(f"q{p}") for p in QUANTILES]
+    q = q.groupBy(*by).agg(*at, F.max("all_n").alias("n"))
+    low, mid, high = (F.col(f"q{p}") for p in QUANTILES)
+    two_sided = F.array(*[F.lit(x[2]) for x in MEASURES.values()])
+    hi = high + FENCE * F.greatest(high - mid, F.lit(1))
+    lo = F.when(two_sided[F.col("measure")], low - FENCE * F.greatest(mid - low, F.lit(1))).otherwise(F.lit(-1))
+    fence = F.sort_array(F.collect_list(F.struct("measure", lo.cast("long").alias("lo"), hi.cast("long").alias("hi"))))
+    return q.groupBy("scope", "lang", "source").agg(fence.alias("fences"), F.max("n").alias("n"))
 
 
 def rate(docs: DataFrame, keep: Column) -> DataFrame:
@@ -119,7 +132,7 @@ def verdicts(rated: DataFrame, spread: Column) -> DataFrame:
     chosen = F.when(F.col("f_n") >= LEAST_GROUP, F.col("f_own")).when(F.col("l_n") >= LEAST_GROUP, F.col("f_lang_f")).otherwise(F.col("f_all"))
     own = own.select("f_lang", "f_source", chosen.alias("f_fences"))
     on = F.col("rated.lang").eqNullSafe(F.col("f_lang")) & F.col("rated.source").eqNullSafe(F.col("f_source"))
-    beyond = F.exists(F.arrays_zip(F.col("rated.levels").alias("a"), F.col("f_fences").alias("b")), lambda x: F.coalesce(x["a"] > x["b"], F.lit(False)))
+    beyond = F.exists(F.arrays_zip(F.col("rated.levels").alias("a"), F.col("f_fences").alias("b")), lambda x: F.coalesce((x["a"] > x["b"]["hi"]) | (x["a"] < x["b"]["lo"]), F.lit(False)))
     return join_small(rated, own, on, spread).withColumn("verdict", ~beyond)
 
 
@@ -143,9 +156,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate_documents(read(spark, sf_dir, "documents"))
 
 
-_MEASURED = ",\n".join(f"cast(least({most}, (1000 * {up}) // greatest({down}, 1)) as int) as m{i}" for i, (up, down, _, most) in enumerate(MEASURES.values()))
-_TOLD = " union all ".join(f"select lang, source, {i} as measure, m{i} as level, {x[2]} as least from measured where n_words > 0" for i, x in enumerate(MEASURES.values()))
-_BEYOND = " or ".join(f"m{i} > coalesce((select fence from chosen c where c.lang is not distinct from m.lang and c.source is not distinct from m.source and c.measure = {i}), 1000000000)" for i in range(len(MEASURES)))
+_MEASURED = ",\n".join(f"(1000 * {up}) // greatest({down}, 1) as m{i}" for i, (up, down, _) in enumerate(MEASURES.values()))
+_TOLD = " union all ".join(f"select lang, source, {i} as measure, {x[2]} as two_sided, {_cell(f'm{i}')} as cell from measured where n_words > 0" for i, x in enumerate(MEASURES.values()))
+_BEYOND = " or ".join(f"coalesce((select m{i} > hi or m{i} < lo from chosen c where c.lang is not distinct from m.lang and c.source is not distinct from m.source and c.measure = {i}), false)" for i in range(len(MEASURES)))
+_QUANTILES = ", ".join(f"min(cell) filter (reached * 100 >= n * {p}) as q{p}" for p in QUANTILES)
 _WORD = r"[^\x20\x09-\x0D]+"
 #: DuckDB SQL for the rows of query(), and with the columns of documents kept for those of keep_good().
 RATED_SQL = rf"""
@@ -156,16 +170,19 @@ again as (select rid, i from windows qualify count(*) over (partition by rid, g)
 covered as (select rid, count(distinct p) as n from (select rid, unnest(generate_series(i, i + {WINDOW - 1})) as p from again) group by rid),
 counted as (select x.*, len(w)::bigint as n_words, length(translate(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), ''))::bigint as word_chars,
   (length(t) - length(translate(t, '{SYMBOLS}', '')))::bigint as n_symbols, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(c.n, 0)::bigint as n_repeat_words,
-  len(l)::bigint as n_lines, len(regexp_extract_all(t, '\p{{Lu}}'))::bigint as n_capitals, len(regexp_extract_all(t, '[!?]'))::bigint as n_marks,
+  len(regexp_extract_all(t, '\p{{Lu}}'))::bigint as n_capitals, (length(t) - length(translate(t, '{POINTS}', '')))::bigint as n_points,
   len(list_filter(w, lambda x, i: i > 1 and x = w[i - 1]))::bigint as n_stutter
   from texts x join worded using (rid) left join covered c using (rid)),
 measured as (select *, {_MEASURED} from counted),
 told as ({_TOLD}),
-quart as (select grouping(lang, source) as scope, lang, source, measure, count(*) as n, min(least) as least, quantile_disc(level, 0.25) as lo, quantile_disc(level, 0.75) as hi
-  from told group by grouping sets ((lang, source, measure), (lang, measure), (measure))),
-fence as (select *, hi + {FENCE} * greatest(hi - lo, least) as fence from quart),
-chosen as (select o.lang, o.source, o.measure, case when o.n >= {LEAST_GROUP} then o.fence when l.n >= {LEAST_GROUP} then l.fence else a.fence end as fence
+sketch as (select grouping(lang, source) as scope, lang, source, measure, cell, any_value(two_sided) as two_sided, count(*) as c
+  from told group by grouping sets ((lang, source, measure, cell), (lang, measure, cell), (measure, cell))),
+reach as (select *, sum(c) over (w order by cell) as reached, sum(c) over w as n from sketch window w as (partition by scope, lang, source, measure)),
+quant as (select scope, lang, source, measure, any_value(two_sided) as two_sided, max(n) as n, {_QUANTILES} from reach group by all),
+fence as (select *, q90 + {FENCE} * greatest(q90 - q50, 1) as hi, case when two_sided then q10 - {FENCE} * greatest(q50 - q10, 1) else -1 end as lo from quant),
+wide as (select o.lang, o.source, o.measure, case when o.n >= {LEAST_GROUP} then o when l.n >= {LEAST_GROUP} then l else a end as f
   from fence o join fence l on l.scope = 1 and l.measure = o.measure and l.lang is not distinct from o.lang join fence a on a.scope = 3 and a.measure = o.measure where o.scope = 0),
+chosen as (select lang, source, measure, f.lo as lo, f.hi as hi from wide),
 judged as (select *, n_words < {LEAST_WORDS} or 100 * n_repeat_words > {REPEATED_PERCENT} * n_words as base_failed, {_BEYOND} as beyond from measured m)
 """
 SQL = f"with {RATED_SQL} select doc_id, {', '.join(COUNTS)}, base_failed, not base_failed and not beyond as kept from judged"
