@@ -20,5 +20,6 @@ ORACLE_SQL = {
     "op2_mix": mix.SQL,
     "op3_url_filter": url_filter.SQL,
     "op4_quality": quality.SQL,
+    "op5_licenses": licenses.SQL,
     "op8_chat": chat.SQL,
 }
