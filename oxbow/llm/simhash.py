@@ -4,10 +4,11 @@ A fingerprint has a bit for each of 64 that more than half of the text's 4-word
 fingerprints link if they differ in at most RADIUS bits.  Shards: the 64 bits are cut into BLOCKS blocks; of
 BLOCKS blocks at most RADIUS can differ, so two linked fingerprints agree in AGREE = BLOCKS - RADIUS blocks at
 least, and meet in the shard of those blocks and their values.  Every set of AGREE blocks has its shards, so no link
-is missed.  In a shard a BK-tree is grown over the distinct fingerprints: children are keyed by their integer
-distance to the parent, and only children whose keys differ by at most RADIUS are compared, as no link can join
-others (triangle inequality).  A subtree whose members are already joined with those it is compared to is left
-out.  A shard gives at most one link less than it has members: a spanning forest, never all pairs.
+is missed.  In every shard a BK-tree is grown over its distinct fingerprints: a node's children are keyed by their
+integer distance to it.  All members ask the tree at once for their neighbours: those at distance d of a node follow
+only its edges keyed d - RADIUS to d + RADIUS, as no link can join others (triangle inequality), and no edge to
+a subtree that is already joined with all that would follow it.  A shard gives at most one link less than it has
+members: a spanning forest, never all pairs.
 
 The trees stand where their shard's rows are and are not broadcast: all shards' trees together grow with the corpus.
 A shard of more than SHARD members is cut into pieces of SHARD; a task holds two pieces at a time, and every pair
@@ -35,6 +36,8 @@ from ._graph import components
 SHINGLE, SEED, RADIUS = 4, 42, 4
 BLOCKS, AGREE = 6, 2
 SHARD = 20_000
+#: So few that follow an edge are not worth a look at whether they are joined with its subtree already.
+FEW = 8
 #: Shingles hashed at a time: a very long text needs no more memory than this many.
 CHUNK = 50_000
 _CUTS = [64 * k // BLOCKS for k in range(BLOCKS + 1)]
@@ -75,78 +78,79 @@ def fingerprints(text: Column) -> Column:
     return of(text.cast("binary"))
 
 
-def link(fps: np.ndarray, radius: int = RADIUS, parent: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the links between distinct unsigned fingerprints, as pairs of places."""
-    parent = np.arange(len(fps)) if parent is None else parent
-    out: list[tuple[int, int]] = []
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    def roots(xs: np.ndarray) -> np.ndarray:
-        r = parent[xs]
-        while not np.array_equal(r, up := parent[r]):
+class Tree:
+    """A BK-tree over distinct fingerprints.  edges[x]: the children of the fingerprint at place x, by their distance to it.
+
+    members[x]: the places in the subtree of x, its own first.
+    """
+
+    def __init__(self, fps: np.ndarray):
+        self.fps, self.root = fps, 0
+        self.edges: dict[int, dict[int, int]] = {}
+        self.members: dict[int, np.ndarray] = {}
+        todo = [np.arange(len(fps))]
+        while todo:
+            members = todo.pop()
+            node, rest = int(members[0]), members[1:]
+            self.members[node], edges = members, {}
+            if len(rest):
+                d = self.distance(rest, node)
+                for k in np.flatnonzero(np.bincount(d)).tolist():
+                    ring = rest[d == k]
+                    edges[k] = int(ring[0])
+                    todo.append(ring)
+            self.edges[node] = edges
+
+    def distance(self, places: np.ndarray, node: int) -> np.ndarray:
+        return np.bitwise_count(self.fps[places] ^ self.fps[node]).astype(np.int64)
+
+    def links(self, radius: int) -> list[tuple[int, int]]:
+        """A spanning forest of the links of at most radius, as pairs of places."""
+        forest, todo = _Forest(len(self.fps)), [(self.root, self.members[self.root])]
+        while todo:
+            node, asking = todo.pop()
+            d = self.distance(asking, node)
+            if len(found := asking[(d > 0) & (d <= radius)]):
+                forest.join(node, found)
+            for k, child in self.edges[node].items():
+                near = asking[np.abs(d - k) <= radius]
+                if len(near) and (len(near) < FEW or not forest.one(near, self.members[child])):
+                    todo.append((child, near))
+        return forest.links
+
+
+class _Forest:
+    def __init__(self, n: int):
+        self.parent, self.links = np.arange(n), []
+
+    def roots(self, places: np.ndarray) -> np.ndarray:
+        r = self.parent[places]
+        while not np.array_equal(r, up := self.parent[r]):
             r = up
-        parent[xs] = r
+        self.parent[places] = r
         return r
 
-    def join(a: int, b: int) -> None:
-        x, y = root(a), root(b)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            out.append((a, b))
-
-    def brute(a: np.ndarray, b: np.ndarray) -> None:
-        for at in range(0, len(a), step := max(1, 200_000 // max(1, len(b)))):
-            part = a[at : at + step]
-            ra, rb = roots(part), roots(b)
-            apart = ra[:, None] != rb[None, :]
-            if not apart.any():
-                continue
-            near = apart & (np.bitwise_count(fps[part][:, None] ^ fps[b][None, :]) <= radius)
-            i, j = np.nonzero(near)
-            if len(i):  # one pair for each pair of components
-                _, first = np.unique(ra[i].astype(np.int64) * len(fps) + rb[j], return_index=True)
-                for k in first:
-                    join(int(part[i[k]]), int(b[j[k]]))
-
-    todo: list[tuple[np.ndarray, np.ndarray | None]] = [(np.arange(len(fps)), None)]
-    while todo:
-        a, b = todo.pop()
-        if b is None:  # links inside a
-            if len(a) <= 256:
-                if len(a) > 1:
-                    brute(a, a)
-                continue
-            node, a = int(a[0]), a[1:]
-            d = np.bitwise_count(fps[a] ^ fps[node])
-            for x in a[d <= radius]:
-                join(node, int(x))
-            rings = {int(k): a[d == k] for k in np.unique(d)}
-            pairs = [(k, m) for k in rings for m in rings if k < m <= k + radius]
-            todo += [(rings[k], rings[m]) for k, m in pairs] + [(x, None) for x in rings.values()]
-            continue
-        ra, rb = roots(a), roots(b)
-        if ra[0] == rb[0] and (ra == ra[0]).all() and (rb == rb[0]).all():
-            continue
-        if len(a) * len(b) <= 4_000_000:
-            brute(a, b)
-            continue
-        if len(a) < len(b):
-            a, b = b, a
-        node = fps[a[len(a) // 2]]
-        da, db = np.bitwise_count(fps[a] ^ node), np.bitwise_count(fps[b] ^ node)
-        if len(ks := np.unique(da)) == 1 and len(np.unique(db)) == 1:
-            half = len(a) // 2
-            todo += [(a[:half], b), (a[half:], b)]
-            continue
-        for k in ks:
-            if len(near := b[np.abs(db.astype(int) - int(k)) <= radius]):
-                todo.append((a[da == k], near))
-    return out
+    def join(self, node: int, places: np.ndarray) -> None:
+        """Links node with the places, one of each component."""
+        own = now = int(self.roots(np.array([node]))[0])
+        roots = self.roots(places)
+        apart = roots != own
+        if not apart.any():
+            return
+        components, first = np.unique(roots[apart], return_index=True)
+        for c, k in zip(components.tolist(), places[apart][first].tolist(), strict=True):
+            self.links.append((node, k))
+            self.parent[max(c, now)], now = min(c, now), min(c, now)
+
+    def one(self, a: np.ndarray, b: np.ndarray) -> bool:
+        """Whether all are in one component."""
+        r = self.roots(a)
+        return bool((r == r[0]).all() and (self.roots(b) == r[0]).all())
+
+
+def link(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
+    """A spanning forest of the links between distinct unsigned fingerprints, as pairs of places."""
+    return Tree(fps).links(radius) if len(fps) else []
 
 
 def _shards(fp: Column) -> Column:
@@ -163,13 +167,18 @@ def _link_sorted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of each shard; rows come in the order of their shards (set, value, piece)."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     held: list[np.ndarray] = []
+    found: list[np.ndarray] = []
     key = None
 
-    def linked() -> Iterator[pa.RecordBatch]:
+    def linked() -> list[np.ndarray]:
         fps = np.unique(np.concatenate(held))
-        if len(fps) > 1 and (pairs := link(fps)):
-            p = fps.view(np.int64)[np.array(pairs)]
-            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], schema=schema)
+        pairs = link(fps)
+        return [fps.view(np.int64)[np.array(pairs)]] if pairs else []
+
+    def flushed() -> pa.RecordBatch:
+        pairs = np.concatenate([np.zeros((0, 2), np.int64), *found])
+        found.clear()
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
 
     for batch in batches:
         if not batch.num_rows:
@@ -178,23 +187,17 @@ def _link_sorted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = f.view(np.uint64)
         cut = np.flatnonzero((s[1:] != s[:-1]) | (v[1:] != v[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1
         starts, ends = np.r_[0, cut], np.r_[cut, len(f)]
-        pairs: list[np.ndarray] = []
         for at, end in zip(starts, ends, strict=True):
             k = (s[at], v[at], p[at], q[at])
             if k != key:
                 if key is not None:
-                    if len(held) == 1 and len(held[0]) == 2:
-                        pairs.append(held[0])
-                    else:
-                        yield from linked()
+                    found += linked()
                 key, held = k, []
             held.append(f[at:end])
-        if pairs:  # most shards have two members
-            two = np.stack(pairs)
-            two = two[np.bitwise_count(two[:, 0] ^ two[:, 1]) <= RADIUS].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(two[:, 0]), pa.array(two[:, 1])], schema=schema)
+        yield flushed()
     if key is not None:
-        yield from linked()
+        found += linked()
+        yield flushed()
 
 
 def links(distinct: DataFrame) -> DataFrame:
