@@ -52,7 +52,7 @@ def test_documents_shorter_than_an_item(words):
 
 def test_shortened_items_leak(spark):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
-    docs = [(k, " ".join(decontaminate.words_of(t)[lo : -hi or None])) for k, (_, t) in enumerate(items) for lo, hi in ((1, 0), (0, 2), (2, 1), (0, 9))]
+    docs = [(k, b" ".join(decontaminate.words_of(t)[lo : -hi or None]).decode()) for k, (_, t) in enumerate(items) for lo, hi in ((1, 0), (0, 2), (2, 1), (0, 9))]
     df, table = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = sorted((r.doc_id, r.item_id, r.first_word, r.n_words, r.similarity) for r in decontaminate.leaks(df, table).collect())
     want = [[(items[i][0], *x) for i, *x in brute_leaks(t, items)] for _, t in docs]
@@ -60,6 +60,36 @@ def test_shortened_items_leak(spark):
     assert decontaminate.clean(df, table).count() == sum(not x for x in want) < len(docs)
 
 
+def test_multi_index_finds_all_within_the_radius():
+    rng = np.random.default_rng(5)
+    prints = rng.integers(0, 1 << 63, 40).astype(np.uint64)
+    fps = np.array([int(p) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 14), replace=False)) for p in rng.choice(prints, 4000)], np.uint64)
+    a, b = decontaminate.Table(prints).near(fps)
+    want = np.argwhere(np.bitwise_count(fps[:, None] ^ prints[None, :]) <= decontaminate.RADIUS)
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == sorted(map(tuple, want.tolist()))
+    spread = rng.integers(0, 1 << 63, 20_000).astype(np.uint64)
+    passed = np.mean([known[v] for (known, *_), v in zip(decontaminate.Table(prints[:1]).blocks, spread.view(np.uint16).reshape(-1, 4).T, strict=True)])
+    assert passed < 0.003  # of a block's values one stretch is entered for
+
+
+def test_recall_of_leaks_near_the_threshold():
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdefghijklm"), rng.integers(2, 8))) for _ in range(600)]
+    items = [(n, " ".join(rng.choice(words, rng.integers(12, 160)))) for n in range(60)]
+    index, found, wanted = decontaminate.Index(items), 0, 0
+    for _, text in items:
+        for _ in range(5):
+            w, kind = text.split(), rng.integers(0, 4)
+            for _ in range(rng.integers(0, 1 + len(w) // 45) if kind == 0 else 1):
+                at = int(rng.integers(0, len(w)))
+                w = [*w[:at], "zzz", *w[at + 1 :]] if kind == 0 else [*w[:at], "yyy", *w[at:]] if kind == 1 else w[len(w) // 12 :] if kind == 2 else w[: -(len(w) // 12) or None]
+            doc = " ".join([*rng.choice(words, 30), *w, *rng.choice(words, 30)])
+            want = {i for i, *_ in brute_leaks(doc, [(0, text)])}
+            wanted += len(want)
+            found += bool(want) and text in {items[i][1] for i, *_ in index.leaks(doc)}
+    assert wanted > 150 and found >= 0.99 * wanted
+
+
 def test_labels_reach_every_occurrence_of_a_key():
     # a field in which twelve digits alone are no entity
     orders = [f"order {10**11 + 7919 * k * k} and {10**11 + 104729 * k} of box" + f" code {10**11 + 31 * k}" * (8 * (k % 3 == 0)) + f" call +4917012{k:05d} or +4917012{k:05d}" for k in range(300)]
