@@ -1,20 +1,24 @@
 """Personal data: patterns, and a skip-chain conditional random field for what they miss.
 
-The patterns give the base spans.  Tokens are runs without white space; a token is a node of the field if it has a
-digit or an at sign, all others are clamped to "no entity", as no entity lacks both.  A node's labels are "none" and
-the four kinds.  Its potentials: a softmax of its shape's features; transitions to the next node where only white
-space lies between; and skip edges between tokens that are the same or similar (equal but for case and outer
-punctuation; equal digits, seven at least; equal part before the at sign).  Skip edges link a key's occurrences in
-turn, and each occurrence to the key's nearest observed ones before and after it, so its distance to them does not matter and
-a document has at most nine for each node.  Nodes inside base spans are observed.  Loopy belief propagation, damped,
-passes messages along all edges until they converge, for at most ROUNDS rounds for each node of the longest chain of skip
-edges that leads to an observed node; a node whose likeliest label is a kind, with at
-least LEAST probability, gives a span of that kind if skip edges lead from it to an observed one: so a number that a
+The patterns give the base spans.  The field's nodes are these, which are observed, and the text's other mentions that could
+be one: numbers of 7 to 19 digits, however they are grouped, and of four parts up to 255; at signs with what stands
+around them, also written out ("[at]", "(at)", " at " before a domain); and tokens that are the name of an observed
+address.  All other text is clamped to "no entity".  A node's labels are "none" and the four kinds.  Its potentials: a softmax
+of its shape and of the words before and after it; transitions to the next node where only white space lies between;
+and skip edges between mentions that are the same or similar (equal digits; the same last nine of nine to fifteen digits, so
+with and without a country's code; the same four parts; equal addresses but for case and spelling of the signs; the same
+name).  Skip edges link a key's occurrences in turn, and each occurrence to the key's nearest observed ones before
+and after it, so its distance to them does not matter and a document has a bounded number for each node.  Loopy
+belief propagation, damped, passes messages along all edges until they converge, for at most ROUNDS rounds for each node of
+the longest chain of skip edges that leads to an observed node; a node whose likeliest label is a kind, with at
+least LEAST probability, gives a span of that kind if skip edges lead from it to an observed one: so what a
 pattern finds in one place is also found where it is written otherwise, and shapes alone add nothing.
 
 The field is trained piecewise: softmax weights by gradient descent, transitions and skip potentials from
-smoothed counts.  The labels are the base spans themselves (so no labelled data is needed), over at most TRAIN_DOCS
-documents, chosen by their texts' hash and at most TRAIN_CHARS characters each.  All texts are then scanned whole.
+smoothed counts.  The labels are the base spans themselves (so no labelled data is needed), each shown twice: as it is, and
+without the signs that the patterns go by, so the softmax does not learn the patterns.  They come from at most TRAIN_DOCS
+documents, those of smallest hash of their texts, whole.  All texts are then scanned whole; every step takes time in
+proportion to the text, also where it has no white space.
 
 Defined results: a null or empty text has no spans.  Repeated rows are scanned one by one.  An empty table gives no
 rows; with no training rows the softmax says "none" unless a skip edge says otherwise.
@@ -24,8 +28,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from itertools import pairwise
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -36,19 +42,29 @@ from ._common import fresh, read
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, DAMP, LEAST = 10, 0.5, 0.6
-TRAIN_DOCS, TRAIN_CHARS, TRAIN_STEPS = 1000, 20_000, 150
+TRAIN_DOCS, TRAIN_STEPS = 1000, 150
 #: The logarithm of another label's potential at an observed node, which however many edges cannot outweigh.
 OBSERVED = -1e9
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-_DOTTED = re.compile(r"[0-9.]+")
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
-_NODE = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
-_OUTER = "\"'()[]{}<>,;:!?.*#$%&|"
+#: A number in groups, with up to three signs between two digits.
+_NUMBER = re.compile(r"[0-9](?:[()\[\].\x20-]{0,3}[0-9])*")
+_GROUPS = re.compile(r"[0-9]+")
+#: The at sign, as it is or written out, and a domain after it.
+_AT = re.compile(r"@|\x20?[\[({]at[\])}]\x20?|\x20at\x20", re.I)
+_DOT = re.compile(r"\x20?(?:\.|[\[({]dot[\])}])\x20?", re.I)
+_DOT_BEFORE = re.compile(r"\x20?[\[({]dot[\])}]\x20?\Z", re.I)
+_LABEL = re.compile(r"[A-Za-z0-9-]{1,63}")
+_NAME = re.compile(r"[A-Za-z0-9._%+-]{5,64}")
+_NOT_LETTER = re.compile(r"[0-9._%+-]")
+#: Characters of an address's name, and labels of its domain.
+LONGEST_NAME, LABELS = 64, 6
+_BEFORE, _AFTER = re.compile(r"(\w{1,32})\W{0,4}\Z"), re.compile(r"\W{0,4}(\w{1,32})")
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -65,11 +81,12 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _ips(text: str) -> Iterator[tuple[int, int]]:
-    for run in _DOTTED.finditer(text):
-        if run[0].count(".") >= 3:
-            for m in _IP.finditer(text, run.start(), run.end()):
-                if all(len(p := part.lstrip("0")) <= 3 and int(p or 0) <= 255 for part in m[0].split(".")):
-                    yield m.start(), m.end()
+    """As the pattern's leftmost matches: of a chain of dotted numbers, four by four."""
+    for chain in _DOTTED.finditer(text):
+        parts = list(_GROUPS.finditer(text, chain.start(), chain.end()))
+        for k in range(0, len(parts) - 3, 4):
+            if all(len(x := p[0].lstrip("0")) <= 3 and int(x or 0) <= 255 for p in parts[k : k + 4]):
+                yield parts[k].start(), parts[k + 3].end()
 
 
 def luhn(digits: str) -> bool:
@@ -96,38 +113,88 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 # --- the field ---
 
-_FEATURES = 24
+#: Of a node's shape, and for each word beside it.
+_SHAPE, _CONTEXT = 24, 32
+_FEATURES = _SHAPE + 2 * _CONTEXT
+
+
+def _numbers(text: str) -> Iterator[tuple[int, int]]:
+    """Numbers of 7 to 19 digits, or of four parts, that no letter touches; longer ones are taken apart at spaces."""
+    for run in _NUMBER.finditer(text):
+        if run.end() - run.start() < 7:
+            continue
+        pieces = [run.span()]
+        if len(_NOT_DIGIT.sub("", run[0])) > 19:
+            pieces = [m.span() for m in re.compile(r"[^\x20]+").finditer(text, *run.span())]
+        for a, b in pieces:
+            while a < b and not text[a].isdigit():
+                a += 1
+            while a < b and not text[b - 1].isdigit():
+                b -= 1
+            n = len(_NOT_DIGIT.sub("", text[a:b]))
+            if (7 <= n <= 19 or (n >= 4 and _parts(text[a:b]))) and not text[a - 1 : a].isalpha() and not text[b : b + 1].isalpha():
+                yield a, b
+
+
+def _parts(number: str) -> tuple[int, ...]:
+    """The four parts of an address of numbers, or none."""
+    parts = [m[0] for m in _GROUPS.finditer(number)]
+    return tuple(map(int, parts)) if len(parts) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in parts) else ()
+
+
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    """What stands around at signs, also written out."""
+    for sign in _AT.finditer(text):
+        a, b, labels = sign.start(), sign.end(), 0
+        while a > 0 and sign.start() - a < LONGEST_NAME:
+            if text[a - 1] in _LOCAL:
+                a -= 1
+            elif a < sign.start() and (m := _DOT_BEFORE.search(text[max(0, a - 7) : a])):
+                a -= len(m[0])
+            else:
+                break
+        while labels < LABELS and (m := _LABEL.match(text, b)):
+            labels, b = labels + 1, m.end()
+            dot = _DOT.match(text, b)
+            if dot is None or not _LABEL.match(text, dot.end()):
+                break
+            b = dot.end()
+        if a < sign.start() and labels > (0 if sign[0] == "@" else 1):
+            yield a, b
+
+
+def _address(mention: str) -> str:
+    return _DOT.sub(".", _AT.sub("@", mention, count=1)).lower()
 
 
 class Nodes:
     """A text's nodes: where they are, their base labels (0 none), features, and edges."""
 
     def __init__(self, text: str, base: list[tuple[int, int, int]]):
-        found = [(m.start(), m.end()) for m in _NODE.finditer(text)]
-        self.at = found
-        n = len(found)
-        self.label, self.inside = np.zeros(n, int), np.zeros(n, bool)
-        k = 0
-        for i, (a, b) in enumerate(found):
-            while k < len(base) and base[k][2] <= a:
-                k += 1
-            if k < len(base) and base[k][0] < b:
-                self.label[i], self.inside[i] = base[k][1] + 1, True
-        self.next = [(i, i + 1) for i in range(n - 1) if found[i + 1][0] - found[i][1] <= 1 and text[found[i][1] : found[i + 1][0]].isspace()]
+        names = {text[a:b].partition("@")[0].lower() for a, k, b in base if k == 0}
+        names = {x for x in names if len(x) >= 5 and _NOT_LETTER.search(x)}
+        found = [*_numbers(text)]
+        if "@" in text or names:
+            found += _addresses(text)
+        if names:
+            found += [(m.start(), m.start() + len(x)) for m in _NAME.finditer(text) if (x := m[0].rstrip(".").lower()) in names]
+        # Longer mentions first; none overlaps a base span or one before it.
+        taken, spans = sorted((a, b) for a, _, b in base), []
+        for a, b in sorted(set(found), key=lambda x: (x[0], -x[1])):
+            if (not spans or a >= spans[-1][1]) and not _overlaps(taken, a, b):
+                spans.append((a, b))
+        nodes = sorted([(a, b, 0) for a, b in spans] + [(a, b, k + 1) for a, k, b in base])
+        self.text, self.at = text, [(a, b) for a, b, _ in nodes]
+        self.label = np.array([k for _, _, k in nodes], int)
+        self.inside = self.label > 0
+        self.next = [(i, i + 1) for i in range(len(nodes) - 1) if 0 < nodes[i + 1][0] - nodes[i][1] <= 2 and text[nodes[i][1] : nodes[i + 1][0]].isspace()]
         keys: dict[tuple, list[int]] = {}
-        self.words = [text[a:b].strip(_OUTER) for a, b in found]
-        for i, w in enumerate(self.words):
-            digits = _NOT_DIGIT.sub("", w)
-            own = {("w", w.lower())} if len(w) >= 4 else set()
-            if len(digits) >= 7:
-                own |= {("d", digits)}
-            if "@" in w and len(name := w.partition("@")[0]) >= 3:
-                own |= {("w", name.lower())}
-            for key in own:
+        for i, (a, b, k) in enumerate(nodes):
+            for key in _keys(text[a:b], k, names):
                 keys.setdefault(key, []).append(i)
-        self.skip = sorted(x for at in keys.values() for x in pairwise(at))
+        self.skip = sorted({x for at in keys.values() for x in pairwise(at)})
         #: Skip edges over occurrences that lie between, to observed ones.
-        self.far = sorted(x for at in keys.values() for x in self._far(at))
+        self.far = sorted({x for at in keys.values() for x in self._far(at)})
 
     def _far(self, at: list[int]) -> Iterator[tuple[int, int]]:
         for way in (at, at[::-1]):
@@ -154,22 +221,55 @@ class Nodes:
 
     def features(self) -> np.ndarray:
         x = np.zeros((len(self.at), _FEATURES), np.float32)
-        for i, w in enumerate(self.words):
-            d = sum(c.isdigit() for c in w)
-            a = sum(c.isalpha() for c in w)
-            x[i, [0, 1 + min(d, 7), 9 + min(a, 3)]] = 1
-            x[i, 13] = "@" in w
-            x[i, 14] = w.count(".") == 3
-            x[i, 15] = w.startswith("+")
-            x[i, 16] = d >= 12
-            x[i, 17] = "@" in w and "." in w.partition("@")[2]
-            x[i, 18] = "-" in w
-            x[i, 19] = d == len(w)
-            x[i, 20] = "=" in w
-            x[i, 21] = a and d
+        for i, (start, end) in enumerate(self.at):
+            w = self.text[start:end]
+            digits = _NOT_DIGIT.sub("", w)
+            d, a = len(digits), sum(c.isalpha() for c in w)
+            x[i, [0, 1 + min(d // 2, 8), 10 + min(a, 3)]] = 1
+            x[i, 14] = "@" in w
+            x[i, 15] = bool(_parts(w))
+            x[i, 16] = self.text[start - 1 : start] == "+" or w[0] == "+"
+            x[i, 17] = d >= 12 and luhn(digits)
+            x[i, 18] = " " in w
+            x[i, 19] = "-" in w
+            x[i, 20] = "." in w
+            x[i, 21] = "(" in w
+            x[i, 22] = d == len(w)
+            for k, m in enumerate((_BEFORE.search(self.text[max(0, start - 40) : start]), _AFTER.match(self.text, end, end + 40))):
+                if m:
+                    x[i, _SHAPE + k * _CONTEXT + crc32(m[1].lower().encode("utf-8", "surrogatepass")) % _CONTEXT] = 1
         return x
 
 
+def _overlaps(taken: list[tuple[int, int]], a: int, b: int) -> bool:
+    """taken: sorted spans, of which those of one kind do not overlap."""
+    k = bisect_left(taken, (b,))
+    return any(end > a for _, end in taken[max(0, k - len(KINDS)) : k])
+
+
+def _keys(mention: str, label: int, names: set[str]) -> set[tuple]:
+    if label == 1 or (label == 0 and _AT.search(mention)):
+        whole = _address(mention)
+        return {("e", whole)} | {("l", name) for name in {whole.partition("@")[0]} & names}
+    if label == 0 and mention.lower() in names:
+        return {("l", mention.lower())}
+    digits, parts, keys = _NOT_DIGIT.sub("", mention), _parts(mention), set()
+    if len(digits) >= 7:
+        keys.add(("d", digits))
+    if 9 <= len(digits) <= 15:
+        keys.add(("t", digits[-9:]))
+    if parts:
+        keys.add(("g", parts))
+    return keys
+
+
+def _otherwise(features: np.ndarray) -> np.ndarray:
+    """Features of mentions as if they were written as plain numbers or words, without the signs that a pattern goes by."""
+    out = features.copy()
+    out[:, [14, 16, 18, 19, 20, 21]] = 0
+    return out
+
+
 class Field:
     """The trained potentials, as logarithms."""
 
@@ -178,16 +278,16 @@ class Field:
         xs, ys = [], []
         self.step, self.skip = np.ones((labels, labels)), np.ones((labels, labels))
         for text in docs:
-            text = text[:TRAIN_CHARS]
             nodes = Nodes(text, base_spans(text))
             if not nodes.at:
                 continue
-            xs.append(nodes.features())
-            ys.append(nodes.label)
+            x = nodes.features()
+            xs += [x, _otherwise(x[nodes.inside])]
+            ys += [nodes.label, nodes.label[nodes.inside]]
             for counts, pairs in ((self.step, nodes.next), (self.skip, nodes.skip)):
                 for i, j in pairs:
                     counts[nodes.label[i], nodes.label[j]] += 1
-        self.skip += self.skip.T + 20 * np.eye(labels)  # the constraint itself: alike tokens tend to have one label
+        self.skip += self.skip.T + 60 * np.eye(labels)  # the constraint itself: alike tokens tend to have one label
         self.weights = np.zeros((_FEATURES, labels))
         self.weights[0, 0] = 4.0
         if xs:
@@ -244,11 +344,7 @@ class Field:
             return base, base
         p = self.beliefs(nodes, hops)
         best = p.argmax(1)
-        added = []
-        for i in np.flatnonzero((hops > 0) & (best > 0)):
-            if p[i, best[i]] >= LEAST and nodes.words[i]:
-                a = text.index(nodes.words[i], nodes.at[i][0])
-                added.append((a, int(best[i]) - 1, a + len(nodes.words[i])))
+        added = [(nodes.at[i][0], int(best[i]) - 1, nodes.at[i][1]) for i in np.flatnonzero((hops > 0) & (best > 0)) if p[i, best[i]] >= LEAST]
         return base, sorted(base + added)
 
 
@@ -259,8 +355,8 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame) -> Field:
     text = F.col("text").cast("string")
-    chosen = docs.select(text.alias("text")).where(text.rlike(r"[0-9][0-9][0-9]|@")).select(F.xxhash64("text").alias("h"), F.substring("text", 1, TRAIN_CHARS).alias("text"))
-    return Field([r[0] for r in chosen.where("pmod(h, 16) = 0").select("text", "h").limit(TRAIN_DOCS).select("text").collect()] or [r[0] for r in chosen.select("text").limit(TRAIN_DOCS).collect()])
+    chosen = docs.select(text.alias("text")).where(text.rlike(r"[0-9][0-9][0-9]|@")).select(F.xxhash64("text").alias("h"), "text")
+    return Field([r[0] for r in chosen.orderBy("h", "text").limit(TRAIN_DOCS).select("text").collect()])
 
 
 def told(spans: list[tuple[int, int, int]]) -> str:

@@ -1,5 +1,10 @@
 """Cases in which an operator once did less than its whole job."""
 
+import itertools
+import re
+import time
+
+import duckdb
 import numpy as np
 import pytest
 from conftest import SMALL
@@ -123,3 +128,63 @@ def test_a_passage_counts_wherever_it_starts():
         assert scorer.score(" ".join([*clean[:start], *bad, *clean[start:]])) == pytest.approx(whole)
         marks = np.r_[np.zeros(start), np.ones(toxicity.PASSAGE), np.zeros(90)]
         assert toxicity._worst(marks) == start
+
+
+VARIANTS = {
+    "phone": [lambda x: x.lstrip("+"), lambda x: re.sub("[^0-9]", "", x), lambda x: ".".join(re.findall("[0-9]+", x)), lambda x: re.sub("[^0-9]", "", x)[-10:]],
+    "email": [lambda x: x.replace("@", " [at] ").replace(".", "[dot]"), lambda x: x.upper().replace("@", " at "), lambda x: x.partition("@")[0].title()],
+    "ip": [lambda x: x.replace(".", "[.]"), lambda x: x.replace(".", "-"), lambda x: x.replace(".", " . ")],
+    "card": [lambda x: ".".join(re.findall("....", x)), lambda x: "  ".join(re.findall("....", x))],
+}
+
+
+def test_the_field_finds_planted_variants_and_nothing_else():
+    docs = [r[0] or "" for r in duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet' order by doc_id").fetchall()]
+    field, rng = pii.Field(docs), np.random.default_rng(8)
+    planted = found = wrong = decoys = 0
+    for text in docs:
+        for a, k, b in pii.base_spans(text):
+            mention = text[a:b]
+            for vary in VARIANTS[pii.KINDS[k]]:
+                other, decoy = vary(mention), "".join(map(str, rng.integers(1, 10, 11)))
+                new = f"{text} {decoy} thereupon, {other}, as {decoy} said"
+                if len(mention) < 7 or any(x < len(new) - len(f"{other}, as {decoy} said") + len(other) and len(text) < y for x, _, y in pii.base_spans(new)):
+                    continue  # the patterns find it, or it makes a longer number
+                base, spans = field.spans(new)
+                at = len(text) + len(f" {decoy} thereupon, ")
+                planted, decoys = planted + 1, decoys + 2
+                found += any(x <= at and at + len(other) <= y and kind == k for x, kind, y in spans)
+                wrong += sum(x >= len(text) and not (x < at + len(other) and at < y) for x, _, y in spans)
+    assert planted > 100 and decoys > 200
+    assert found >= 0.95 * planted and wrong == 0, (found, planted, wrong)
+
+
+class Line:
+    """Four nodes whose edges make a tree."""
+
+    def __init__(self, rng):
+        self.x, self.label, self.inside = rng.normal(size=(4, pii._FEATURES)), np.array([0, 4, 0, 0]), np.array([False, True, False, False])
+        self.next, self.skip, self.far = [(0, 1)], [(1, 3)], [(0, 2)]
+
+    def features(self):
+        return self.x
+
+
+def test_messages_give_the_exact_marginals_of_a_tree():
+    field, nodes, labels = pii.Field(["call +49 170 1234567 or 491701234567, mail a.b@c.de"] * 3), Line(np.random.default_rng(3)), range(len(pii.KINDS) + 1)
+    unary = nodes.x @ field.weights
+    want = np.zeros((4, len(labels)))
+    for y in itertools.product(labels, repeat=4):
+        if y[1] == 4:
+            p = np.exp(sum(unary[i, y[i]] for i in (0, 2, 3)) + field.step[y[0], y[1]] + field.skip[y[1], y[3]] + field.skip[y[0], y[2]])
+            for i in range(4):
+                want[i, y[i]] += p
+    got = field.beliefs(nodes, np.array([-1, 0, -1, 1]))
+    assert np.abs(got - want / want.sum(1, keepdims=True)).max() < 0.01
+
+
+@pytest.mark.parametrize("run", ["x" * 10**6, "1" * 10**6, "1." * 300_000, "@" * 200_000, "a.b@" * 100_000, "(1" * 200_000, "+1" + " " * 10**6, "漢字" * 300_000])
+def test_long_unbroken_texts_take_linear_time(run):
+    began = time.process_time()
+    assert pii.Field([]).spans(f"a.b1@c.de {run}")[0][0] == (0, 0, 9)
+    assert time.process_time() - began < 30
