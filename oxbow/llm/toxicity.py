@@ -10,7 +10,9 @@ labelled text stands for passages of its own: at first one at random, later the
 (multiple-instance learning: one positive passage makes a text positive).
 
 Training takes at most TRAIN_ROWS labelled rows of each class, those of smallest crc32 of their id, none of which is
-held out, and at most TRAIN_CHARS characters of each.  Scores read whole texts and nothing but texts, a CHUNK of
+held out, and their whole texts.  The score is calibrated on the same rows: one of PARTS parts is scored by a model of
+the others, and the bias moved so that the cut that tells the classes best there (most F0.5, in the middle of the gap)
+scores THRESHOLD.  Scores read whole texts and nothing but texts, a CHUNK of
 characters at a time.  As the softmax is linear in averaged embeddings, an n-gram adds one number to its passage.
 
 Defined results: a null or empty text, or one without words, scores as the softmax's bias alone.  A row without doc_id
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from ._common import read
 
 MIN_GRAM, MAX_GRAM, BUCKETS, WIDTH = 3, 5, 1 << 17, 8
-PASSAGE, LEAST_WORDS, TRAIN_ROWS, TRAIN_CHARS, CHUNK = 40, 20, 3000, 20_000, 1 << 20
+PASSAGE, LEAST_WORDS, TRAIN_ROWS, PARTS, CHUNK = 40, 20, 3000, 3, 1 << 20
 STEPS, WARM_STEPS, WARM_PASSAGE, RATE, BATCH, SEED = 700, 200, 200, 0.5, 64, 7
 THRESHOLD, HELD_OUT = 0.7, 1
 _GRAMS = range(MIN_GRAM, MAX_GRAM + 1)
@@ -105,15 +107,13 @@ class Model:
         return self.vectors @ (self.weights[:, 1] - self.weights[:, 0])
 
     def fit(self, texts: list[str], labels: list[int]) -> Model:
+        return self.fit_bags([bags_of(t) for t in texts], labels)
+
+    def fit_bags(self, docs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: list[int]) -> Model:
         y = np.array(labels)
         if len(set(labels)) < 2:
             self.share = float(y.mean()) if len(y) else 0.0
             return self
-        docs = []
-        for t in texts:
-            bucket, owner, n = grams_of(t[:TRAIN_CHARS])
-            order = np.argsort(owner, kind="stable")
-            docs.append((bucket[order], owner[order], np.searchsorted(owner[order], np.arange(n + 1))))
         rng = np.random.default_rng(SEED)
         seen_v, seen_w = np.full((BUCKETS, 1), 1e-6, np.float32), np.full_like(self.weights, 1e-6)
         step = 0
@@ -134,6 +134,8 @@ class Model:
                     bags.append(bucket[ends[lo] : ends[hi]])
                     per.append(np.repeat(1.0 / (lens * max(LEAST_WORDS, hi - lo)), lens))
                     kept.append(k)
+                if not kept:
+                    continue
                 grams, per, sizes = np.concatenate(bags), np.concatenate(per).astype(np.float32), np.array([len(b) for b in bags])
                 mine = np.repeat(np.arange(len(bags)), sizes)
                 h = np.add.reduceat(self.vectors[grams] * per[:, None], np.r_[0, np.cumsum(sizes)[:-1]], axis=0)
@@ -151,10 +153,42 @@ class Model:
                 self.vectors[buckets] -= RATE * g_v / np.sqrt(seen_v[buckets])
         return self
 
+    def calibrate(self, docs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: list[int]) -> Model:
+        """Moves the bias so that the cut that tells the classes best, of the rows that a model of the others scores, scores THRESHOLD."""
+        apart = np.random.default_rng(SEED).permutation(len(labels)) % PARTS == 0
+        ours, theirs, y = np.flatnonzero(~apart), np.flatnonzero(apart), np.array(labels)
+        if len(set(y[ours])) == 2 and len(set(y[theirs])) == 2:
+            scorer = Model().fit_bags([docs[i] for i in ours], y[ours].tolist()).scorer()
+            z = np.array([scorer.margin([docs[i]]) for i in theirs])
+            self.bias[1] += np.log(THRESHOLD / (1 - THRESHOLD)) - _best_cut(z, y[theirs])
+        return self
+
     def scorer(self) -> Scorer:
         return Scorer(self._told(), float(self.bias[1] - self.bias[0]), self.share)
 
 
+def bags_of(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The buckets of a text's n-grams by word, the words' numbers, and where each word's begin."""
+    parts, words = [], 0
+    for chunk in chunks_of(text):
+        bucket, owner, n = grams_of(chunk)
+        order = np.argsort(owner, kind="stable")
+        parts.append((bucket[order], owner[order] + words))
+        words += n
+    bucket, owner = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int32),) * 2
+    return bucket, owner, np.searchsorted(owner, np.arange(words + 1))
+
+
+def _best_cut(z: np.ndarray, y: np.ndarray) -> float:
+    """The cut of most F0.5, which weighs false alarms more than misses, in the middle between the scores on its sides."""
+    order = np.argsort(-z, kind="stable")
+    z, caught = z[order], np.cumsum(y[order])
+    ends = np.r_[z[1:] < z[:-1], False]  # a cut stands between different scores
+    f = np.where(ends, 1.25 * caught / (np.arange(1, len(z) + 1) + 0.25 * caught[-1]), -1.0)
+    k = int(f.argmax())
+    return float(z[k] + z[k + 1]) / 2 if ends.any() else 0.0
+
+
 def _word_means(told: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(owner, told, n) / np.maximum(np.bincount(owner, minlength=n), 1)
 
@@ -181,10 +215,14 @@ class Scorer:
     def score(self, text: str | None) -> float:
         if self.share is not None:
             return self.share
-        words = [_word_means(self.told[b], o, n) for b, o, n in map(grams_of, chunks_of(text or "")) if n]
-        z = self.bias + (float(_passages(np.concatenate(words))[1].max()) if words else 0.0)
+        z = self.margin((b, o, range(n + 1)) for b, o, n in map(grams_of, chunks_of(text or "")))
         return 1 / (1 + float(np.exp(-np.clip(z, -500, 500))))
 
+    def margin(self, chunks) -> float:
+        """The logarithm of the odds; chunks of the text: buckets, words' numbers, and one more than there are words of anything."""
+        words = [_word_means(self.told[b], o, len(ends) - 1) for b, o, ends in chunks if len(ends) > 1]
+        return self.bias + (float(_passages(np.concatenate(words))[1].max()) if words else 0.0)
+
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == HELD_OUT, F.lit(False))
@@ -198,10 +236,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     ids = [r for x in (0, 1) for r in known.where(F.col("toxic") == x).orderBy(*order).limit(TRAIN_ROWS).select("doc_id", "toxic").collect()]
     spark = docs.sparkSession
     chosen = F.broadcast(spark.createDataFrame(ids, "l_id long, toxic int"))
-    text = F.substring(F.coalesce(F.col("text").cast("string"), F.lit("")), 1, TRAIN_CHARS)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.join(chosen, F.col("doc_id") == F.col("l_id")).select("l_id", text.alias("text"), "toxic").groupBy("l_id").agg(F.min(F.struct("text", "toxic")).alias("r"))
     rows = sorted((r[0], r[1][0], r[1][1]) for r in rows.collect())
-    return Model().fit([r[1] for r in rows], [r[2] for r in rows])
+    bags, classes = [bags_of(r[1]) for r in rows], [r[2] for r in rows]
+    return Model().fit_bags(bags, classes).calibrate(bags, classes)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
