@@ -43,20 +43,27 @@ STOP_WORDS = frozenset(
 )
 LINK_DENSITY, SHORT, LONG, STOP_LOW, STOP_HIGH, NEAREST = 0.5, 70, 200, 0.10, 0.20, 200
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+#: In a tag a quote opens a value only after "="; one that nothing closes is part of the value.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]*))*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-label|itemprop|hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas"}
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in _RAW}
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-_BLOCK = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul caption".split())
+_BLOCK = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul caption button dialog head fieldset input label".split())
 #: Elements whose text is never the article's.
 _BAD = set("nav footer aside form menu button select dialog head fieldset input label".split())
 _BAD_ROLE = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-_BAD_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|newsletter|subscri\w*|signup|login|paywall|side-?bar|widgets?|nav\w*|menu\w*|"
-    r"breadcrumbs?|footer|masthead|site-?header|page-?header|topbar|toolbar|comments?|disqus|respond|replies|share|sharing|social|related|recommend\w*|popup|modal|overlay|pagination|pager|tags|tagcloud|skip-?link|search\w*)(?=$|[\s_-])",
-    re.I,
+_NAMES = (
+    r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|newsletter|subscri\w*|signup|login|paywall|side-?bar|widgets?|nav\w*|menu\w*|"
+    r"breadcrumbs?|footer|masthead|site-?header|page-?header|topbar|toolbar|comments?|disqus|respond|replies|share|sharing|social|related|recommend\w*|popup|modal|overlay|pagination|pager|tags|tagcloud|skip-?link|search\w*"
 )
+#: Names of containers, also as a part of one; of elements with text of their own, as the last part.
+_BAD_NAME = re.compile(rf"(?:^|[\s_-])(?:{_NAMES})(?=$|[\s_-])", re.I)
+_BAD_TEXT_NAME = re.compile(rf"(?:^|[\s_-])(?:{_NAMES})(?=$|\s)", re.I)
+_TEXT_TAGS = set("p h1 h2 h3 h4 h5 h6 li dt dd td th tr blockquote pre figcaption caption span b i em strong a code".split())
+#: Names of articles that are none: only as a whole name, as an article's may tell what stands beside it.
+_BAD_ARTICLE = re.compile(r"(?:^|\s)(?:ads?|advert|advertisement|sponsored|promo|comments?|reply|replies|teaser|related)(?=$|\s)", re.I)
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: What an article's block is instead of what its length and stop words say.
 _LIFTED = {"bad": "short", "short": "neargood", "neargood": "good", "good": "good"}
 _HEADING = re.compile("h[1-6]$")
@@ -72,100 +79,117 @@ class Block:
         self.text, self.links, self.bad, self.article, self.heading, self.verdict = text, links, bad, article, heading, ""
 
 
+def _is_hidden(attributes: str) -> bool:
+    if "hidden" not in attributes.lower() and "none" not in attributes.lower():
+        return False
+    return any(m[1].lower() == "hidden" or (m[1].lower() == "style" and _HIDDEN.search(m[2] or m[3] or m[4] or "")) for m in _ATTRIBUTE.finditer(attributes))
+
+
 def _is_bad(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in _BAD or (tag == "header" and not in_article):
+    if tag in _BAD or (tag == "header" and not in_article) or _is_hidden(attributes):
         return True
-    if "=" in attributes or "hidden" in attributes:
+    if "=" in attributes and tag not in ("body", "html"):
+        names = _BAD_ARTICLE if tag in ("article", "main") else _BAD_TEXT_NAME if tag in _TEXT_TAGS else _BAD_NAME
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if name == "hidden" or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-                return True
-            if tag in ("body", "html", "article", "main"):
-                continue
-            if (name == "role" and value.lower() in _BAD_ROLE) or (name in ("class", "id", "itemprop") and _BAD_NAME.search(value)):
+            if (name == "role" and value.lower() in _BAD_ROLE) or (name in ("class", "id", "itemprop") and names.search(value)):
                 return True
     return False
 
 
+class _Parser:
+    """One pass over a page's tags; blocks: those with text, in order."""
+
+    def __init__(self):
+        self.blocks: list[Block] = []
+        self.stack: list[tuple[str, bool, bool]] = []  # open elements: tag, bad, article
+        self.text: list[tuple[str, bool]] = []  # of the block so far, and whether in a link
+        self.link: int | None = None  # how many elements were open where the open link began
+        self.muted: list[str] = []  # an open inline element without a text, and the same inside it
+        self.breaks = 0
+
+    def end_block(self) -> None:
+        self.breaks = 0
+        if self.text:
+            whole = " ".join(entities.unescape("".join(t for t, _ in self.text)).split())
+            if whole:
+                links = sum(len(" ".join(entities.unescape(t).split())) for t, linked in self.text if linked)
+                heading = any(_HEADING.match(t) for t, _, _ in self.stack[-3:])
+                bad, article = self.state()
+                self.blocks.append(Block(whole, links, bad, article, heading))
+            self.text.clear()
+
+    def state(self) -> tuple[bool, bool]:
+        return self.stack[-1][1:] if self.stack else (False, False)
+
+    def put(self, text: str) -> None:
+        if text and not self.muted:
+            self.text.append((text, self.link is not None))
+            if text.strip():
+                self.breaks = 0
+
+    def tag(self, tag: str, closing: bool, attributes: str) -> None:
+        if tag in _BLOCK:
+            self.end_block()
+            self.muted.clear()
+            if tag not in _VOID:
+                self.close(tag) if closing else self.open(tag, attributes)
+        elif tag == "br":
+            self.breaks += 1
+            self.put(" ")
+            if self.breaks > 1:
+                self.end_block()
+        elif tag in _VOID:
+            return
+        elif self.muted:
+            if tag == self.muted[-1]:
+                self.muted.pop() if closing else self.muted.append(tag)
+        elif not closing and (_is_bad(tag, attributes, self.state()[1]) if tag == "span" else _is_hidden(attributes)):
+            self.muted.append(tag)
+        elif tag == "a":
+            self.link = None if closing else len(self.stack)
+
+    def open(self, tag: str, attributes: str) -> None:
+        if self.stack and (self.stack[-1][0] == "p" or (tag in ("li", "dt", "dd", "td", "th", "tr", "option") and self.stack[-1][0] == tag)):
+            self.pop(len(self.stack) - 1)
+        bad, article = self.state()
+        self.stack.append((tag, bad or _is_bad(tag, attributes, article), article or tag in ("article", "main")))
+
+    def close(self, tag: str) -> None:
+        for k in range(len(self.stack) - 1, -1, -1):
+            if self.stack[k][0] == tag:
+                if tag not in ("p", "li") or not any(t in ("article", "nav", "footer", "aside", "main", "form") for t, _, _ in self.stack[k + 1 :]):
+                    self.pop(k)
+                break
+
+    def pop(self, to: int) -> None:
+        """Closes all elements but the first; a link that began in one of them ends with it."""
+        del self.stack[to:]
+        if self.link is not None and self.link > to:
+            self.link = None
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks in order, those without text left out."""
-    out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: tag, bad, article
-    text: list[str] = []
-    links = [0]
-    in_link = breaks = 0
-
-    def end_block() -> None:
-        nonlocal breaks
-        breaks = 0
-        if text:
-            joined = " ".join(entities.unescape("".join(text)).split())
-            if joined:
-                heading = any(_HEADING.match(t) for t, _, _ in stack[-3:])
-                bad, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                out.append(Block(joined, links[0], bad, article, heading))
-            text.clear()
-            links[0] = 0
-
-    def put(s: str) -> None:
-        if s:
-            text.append(s)
-            if in_link:
-                links[0] += len(s.strip())
-
-    pos, size = 0, len(page)
+    parser, pos, size = _Parser(), 0, len(page)
     while pos < size:
         m = _TOKEN.search(page, pos)
         if m is None:
-            put(page[pos:])
+            parser.put(page[pos:])
             break
-        put(page[pos : m.start()])
+        parser.put(page[pos : m.start()])
         pos = m.end()
         if not m[2]:
             continue
-        tag, closing = m[2].lower(), m[1]
-        if tag in _RAW and not closing:
+        tag = m[2].lower()
+        if tag in _RAW and not m[1]:
             if not m[0].endswith("/>"):
                 end = _RAW_END[tag].search(page, pos)
                 pos = end.end() if end else size
             continue
-        if tag == "br":
-            breaks += 1
-            text.append(" ")
-            if breaks > 1:
-                end_block()
-            continue
-        if m[0].strip():
-            breaks = 0 if tag != "br" else breaks
-        if tag == "a":
-            in_link = 0 if closing else 1
-            continue
-        if tag in _BLOCK or tag in _BAD:
-            end_block()
-            in_link = 0
-        elif tag not in ("div", "span"):
-            continue
-        if tag in _VOID:
-            continue
-        if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if tag not in ("p", "li", "span") or not any(t in ("article", "nav", "footer", "aside", "main", "form") for t, _, _ in stack[k + 1 :]):
-                        del stack[k:]
-                    break
-            continue
-        if tag in _BLOCK and stack and stack[-1][0] == "p":
-            stack.pop()
-        if tag in ("li", "dt", "dd", "td", "th", "tr", "option") and stack and stack[-1][0] == tag:
-            stack.pop()
-        bad, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        if tag == "span":
-            if not _is_bad(tag, m[3], article):
-                continue
-            end_block()
-        stack.append((tag, bad or _is_bad(tag, m[3], article), article or tag in ("article", "main")))
-    end_block()
-    return out
+        parser.tag(tag, bool(m[1]), m[3])
+    parser.end_block()
+    return parser.blocks
 
 
 def _density(b: Block) -> float:
@@ -183,9 +207,12 @@ def _first_pass(blocks: list[Block]) -> None:
     listed = sum(s for s, _ in counts) >= STOP_LOW * sum(n for _, n in counts)
     for b, (s, n) in zip(blocks, counts, strict=True):
         dense = _density(b)
-        if b.bad or (dense > LINK_DENSITY and not b.heading):
+        if b.bad or (dense > LINK_DENSITY and not b.heading and not b.article):
             b.verdict = "bad"
             continue
+        if dense > LINK_DENSITY and b.article:  # a list of links in an article is its text, unless it stands apart
+            b.verdict = "short"
+            continue
         stop = s / max(1, n) if listed else 1.0
         if len(b.text) < SHORT:
             b.verdict = "short" if dense == 0 or b.article else "bad"

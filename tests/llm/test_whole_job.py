@@ -19,10 +19,40 @@ def test_article_is_a_feature_not_a_verdict():
     body = f"<div>{ENGLISH}</div><div>He said so.</div><div>{ENGLISH}</div>"
     page = f"<body><nav><a href=1>Home</a></nav><article><h3>Next week</h3><p>Another story</p></article>{body}<footer>me</footer></body>"
     assert html.main_text(page).split("\n")[-3:] == [ENGLISH.strip(), "He said so.", ENGLISH.strip()]
-    listed = f"<article><p>{ENGLISH}</p><h3>Related</h3><ul><li><a href=1>One thing</a><li><a href=2>Another thing</a></ul><p>The end.</p></article>"
+    listed = f"<article><p>{ENGLISH}</p><div class=related><h3>Related</h3><ul><li><a href=1>One thing</a><li><a href=2>Another thing</a></ul></div><p>The end.</p></article>"
     assert html.main_text(listed) == f"{ENGLISH.strip()}\nThe end."
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p>Intro</p><ul><li><a>Chapter one</a></li></ul></article>", "Intro\nChapter one"),
+        ("<article><p>Abc def <a>&eacute;&eacute;&eacute;</a></p></article>", "Abc def ééé"),
+        ("<article><p>Main</p></article><article class=comment><p>Reader</p></article>", "Main"),
+        ("<article><p>Hello <b hidden>x</b>me <em style='display:none'>y</em> end</p></article>", "Hello me end"),
+        ("<article><p data-x=it's>Hello it's me</p></article>", "Hello it's me"),
+        ('<article><p class="x>Hello</p></article>', "Hello"),
+        ("<article><p class=notice-period>A month.</p><p class=cookie-notice>We use cookies</p></article>", "A month."),
+        ("<article><p>One <span class=ad>Buy</span> two</p></article>", "One two"),
+        ("<article><p>a<br><br>b<br>c</p></article>", "a\nb c"),
+    ],
+)
+def test_nothing_else_of_the_article_is_dropped(page, text):
+    assert html.main_text(page) == text
+
+
+def test_links_around_blocks_are_links():
+    linked = f"<a href=1><div>{ENGLISH}</div></a>"
+    assert html.main_text(f"<body><div>{ENGLISH}</div>{linked}<div>{ENGLISH}</div></body>") == f"{ENGLISH.strip()}\n{ENGLISH.strip()}"
+
+
+@pytest.mark.parametrize("part", ["<p class=\"x", "<", "<a ", "<p x='", "<b hidden>", "<span>", "<div>", "<p x= ", "&", "<!--", "word "])
+def test_long_pages_take_linear_time(part):
+    began = time.process_time()
+    html.main_text(part * (1_000_000 // len(part)))
+    assert time.process_time() - began < 30
+
+
 def test_unlisted_languages_need_no_stop_words():
     page = f"<body><div><a href=1>Koti</a></div><div>{FINNISH}</div><div>Niin se oli.</div><div>{FINNISH}</div><div><a href=2>Muut sivut</a></div></body>"
     assert html.main_text(page) == f"{FINNISH.strip()}\nNiin se oli.\n{FINNISH.strip()}"
