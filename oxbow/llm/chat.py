@@ -10,10 +10,10 @@ and any ``<|`` inside a role or text is written ``<||``, which unescaping undoes
 string: after the escape, ``<|`` is followed by ``|`` in texts and by a letter in control strings.  The bodies of assistant
 turns are the loss mask.
 
-Turns are formatted row by row.  A conversation is the concatenation of its pieces in the order of turn, role and text,
-so it is never gathered: ``pieces`` gives its turns in order, and ``read_back`` parses the formatted text of a sorted
-stream piece by piece.  Before the stream of one conversation meets in one task, its pieces are joined to segments of up to
-SEGMENT characters where they lie, in range partitions that split a large conversation.
+Turns are formatted once, where they lie after they are sorted into range partitions that split a large conversation.  A
+conversation is the concatenation of its pieces in the order of turn, role and text, so it is never gathered: its
+pieces are joined to segments of up to SEGMENT characters there, with the attachments and tokens of their turns, and
+``read_back`` parses the segments of a conversation in order, one at a time.
 
 Defined results: null texts and roles are empty; a null turn comes first; a null conv_id is a conversation of its
 own; a content list that is no valid JSON is plain text.  Repeated turns are repeated.  An empty table gives only the
@@ -105,76 +105,101 @@ def format_turn(role: str | None, content: str | None, typed: bool = False) -> t
     return f"{ROLE}{escape(role or '')}{TEXT}{''.join(seen.body)}{END}", seen.attachments, seen.tokens
 
 
+_ATTACHED = "array<struct<type: string, ref: string, tokens: long>>"
+_ATTACHED_ARROW = pa.list_(pa.struct([("type", pa.string()), ("ref", pa.string()), ("tokens", pa.int64())]))
+
+
+def _named(attachments: list[tuple[str, str, int]]) -> list[dict]:
+    return [dict(zip(("type", "ref", "tokens"), x, strict=True)) for x in attachments]
+
+
+def _plain(turns: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), text.alias("text"))
+
+
 def format_turns(turns: DataFrame, typed: bool = False) -> DataFrame:
     """conv_id, turn, role, text, piece, loss, attachments, n_tokens of each turn (conv_id, turn, role, text).
 
     typed: texts that are JSON lists of parts are read as such; else every text is one text part.
     """
-    kind = "struct<piece: string, attachments: array<struct<type: string, ref: string, tokens: long>>, n_tokens: long>"
-    arrow = pa.struct([("piece", pa.string()), ("attachments", pa.list_(pa.struct([("type", pa.string()), ("ref", pa.string()), ("tokens", pa.int64())]))), ("n_tokens", pa.int64())])
+    arrow = pa.struct([("piece", pa.string()), ("attachments", _ATTACHED_ARROW), ("n_tokens", pa.int64())])
 
-    @F.arrow_udf(kind)
+    @F.arrow_udf(f"struct<piece: string, attachments: {_ATTACHED}, n_tokens: long>")
     def of(role: pa.Array, text: pa.Array) -> pa.Array:
         rows = (format_turn(r.as_py(), t.as_py(), typed) for r, t in zip(role, text, strict=True))
-        return pa.array([{"piece": p, "attachments": [dict(zip(("type", "ref", "tokens"), x, strict=True)) for x in a], "n_tokens": n} for p, a, n in rows], arrow)
+        return pa.array([{"piece": p, "attachments": _named(a), "n_tokens": n} for p, a, n in rows], arrow)
 
-    text = F.col("text").cast("string")
-    turns = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
-    return turns.withColumn("f", of("role", "text")).select("conv_id", "turn", "role", "text", "f.piece", (F.col("role") == "assistant").alias("loss"), "f.attachments", "f.n_tokens")
+    return _plain(turns).withColumn("f", of("role", "text")).select("conv_id", "turn", "role", "text", "f.piece", (F.col("role") == "assistant").alias("loss"), "f.attachments", "f.n_tokens")
 
 
 # --- conversations as streams of pieces ---
 
-_SEGMENT = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("nth", pa.int64()), ("formatted", pa.string())])
-_TOLD = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-
-
-def _join_pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted pieces of conversations (conv_id, piece) as segments."""
-    from pyspark import TaskContext
-
-    part, nth, key, held, size, rows = TaskContext.get().partitionId(), 0, None, [], 0, []
-
-    def end() -> None:
-        nonlocal held, size, nth
-        if held:
-            rows.append({"conv_id": key, "part": part, "nth": nth, "formatted": "".join(held)})
-            nth, held, size = nth + 1, [], 0
-
-    for batch in batches:
-        for c, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if c != key or size >= SEGMENT:
-                end()
-                key = c
-            held.append(p)
-            size += len(p)
-        if len(rows) >= 1024 or sum(len(r["formatted"]) for r in rows) >= 8 * SEGMENT:
+_SEGMENT = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("nth", pa.int64()), ("formatted", pa.string()), ("attachments", _ATTACHED_ARROW), ("n_tokens", pa.int64())])
+_SEGMENT_SQL = f"conv_id long, part long, nth long, formatted string, attachments {_ATTACHED}, n_tokens long"
+_TOLD = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_attachments long, n_tokens long"
+
+
+def _formatter(typed: bool):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted turns of conversations (conv_id, role, text) as segments."""
+        from pyspark import TaskContext
+
+        part, nth, key, rows, ready = TaskContext.get().partitionId(), 0, None, [], 0
+        held, attached, size, tokens = [], [], 0, 0
+
+        def end() -> None:
+            nonlocal held, attached, size, tokens, nth, ready
+            if held:
+                rows.append({"conv_id": key, "part": part, "nth": nth, "formatted": "".join(held), "attachments": attached, "n_tokens": tokens})
+                ready += size
+                nth, held, attached, size, tokens = nth + 1, [], [], 0, 0
+
+        for batch in batches:
+            for c, r, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if c != key or size >= SEGMENT:
+                    end()
+                    key = c
+                    if ready >= 8 * SEGMENT:
+                        yield pa.RecordBatch.from_pylist(rows, _SEGMENT)
+                        rows, ready = [], 0
+                piece, found, n = format_turn(r, t.as_py(), typed)
+                held.append(piece)
+                attached += _named(found)
+                size, tokens = size + len(piece), tokens + n
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, _SEGMENT)
+                rows, ready = [], 0
+        end()
+        if rows:
             yield pa.RecordBatch.from_pylist(rows, _SEGMENT)
-            rows = []
-    end()
-    if rows:
-        yield pa.RecordBatch.from_pylist(rows, _SEGMENT)
+
+    return run
 
 
 def conversations(turns: DataFrame, typed: bool = False) -> DataFrame:
-    """conv_id, part, nth, formatted: each conversation's formatted text, in segments ordered by part and nth."""
+    """conv_id, part, nth, formatted, attachments, n_tokens: each conversation's formatted text, in segments ordered by part and nth.
+
+    attachments: those of the segment's turns, in the order of their placeholders.
+    """
     parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = format_turns(turns, typed).select("conv_id", "turn", "role", "text", "piece")
     order = ["conv_id", "turn", "role", "text"]
-    return placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("conv_id", "piece").mapInArrow(_join_pieces, "conv_id long, part long, nth long, formatted string")
+    return _plain(turns).repartitionByRange(parts, *order).sortWithinPartitions(*order).select("conv_id", "role", "text").mapInArrow(_formatter(typed), _SEGMENT_SQL)
 
 
 class Reader:
     """Parses formatted text fed to it in segments that end with a turn's end, and digests what it reads."""
 
     def __init__(self):
-        self.turns = self.loss_chars = self.chars = 0
+        self.turns = self.loss_chars = self.chars = self.attachments = self.tokens = 0
         self.turns_sha, self.loss_sha = hashlib.sha256(), hashlib.sha256()
 
-    def feed(self, formatted: str) -> None:
+    def feed(self, formatted: str, tokens: int = 0) -> None:
         self.chars += len(formatted)
+        self.tokens += tokens
         for turn in formatted.split(END)[:-1]:  # no text holds a control string
             role, _, body = turn.removeprefix(ROLE).partition(TEXT)
+            self.attachments += len(_HOLDER.findall(body))
             role, text = unescape(role), unescape(body)
             self.turns += 1
             self.turns_sha.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
@@ -183,7 +208,7 @@ class Reader:
                 self.loss_sha.update(text.encode("utf-8", "surrogatepass"))
 
     def told(self, conv_id: int | None) -> tuple:
-        return conv_id, self.turns, self.turns_sha.hexdigest(), self.loss_chars, self.loss_sha.hexdigest(), self.chars
+        return conv_id, self.turns, self.turns_sha.hexdigest(), self.loss_chars, self.loss_sha.hexdigest(), self.chars, self.attachments, self.tokens
 
 
 def _read_segments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,12 +216,12 @@ def _read_segments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     schema = pa.schema([(n, pa.string() if "sha256" in n else pa.int64()) for n in names])
     for batch in batches:
         rows = []
-        for c, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for c, text, tokens in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
             if reader is None or c != key:
                 if reader is not None:
                     rows.append(reader.told(key))
                 key, reader = c, Reader()
-            reader.feed(text.as_py())
+            reader.feed(text.as_py(), tokens)
         if rows:
             yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema)
     if reader is not None:
@@ -207,7 +232,7 @@ def read_back(segments: DataFrame) -> DataFrame:
     """What the formatted conversations say: a row of counts and digests for each."""
     parts = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = segments.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "part", "nth")
-    return ordered.select("conv_id", "formatted").mapInArrow(_read_segments, _TOLD)
+    return ordered.select("conv_id", "formatted", "n_tokens").mapInArrow(_read_segments, _TOLD)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,6 +241,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(conversations(turns.unionByName(own)))
 
 
+#: As TEXT_TOKENS, in the SQL's regular expressions.
+_SQL_TOKENS = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\p{Z}\x09-\x0D\x1C-\x1F\x85]"
 _E = "replace({0}, '<|', '<||')"
 SQL = f"""
 with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -223,6 +250,7 @@ with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '')
 select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, encode(role), encode(text))) as turns_sha256,
   coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
   sha256(coalesce(string_agg(text, '' order by turn nulls first, encode(text)) filter (role = 'assistant'), '')) as loss_sha256,
-  sum({len(ROLE + TEXT + END)} + length({_E.format("role")}) + length({_E.format("text")}))::bigint as formatted_chars
+  sum({len(ROLE + TEXT + END)} + length({_E.format("role")}) + length({_E.format("text")}))::bigint as formatted_chars,
+  0::bigint as n_attachments, sum(len(regexp_extract_all(text, '{_SQL_TOKENS}')))::bigint as n_tokens
 from t group by conv_id
 """

@@ -1,5 +1,6 @@
 """Cases in which an operator once did less than its whole job."""
 
+import hashlib
 import itertools
 import re
 import time
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from conftest import SMALL
 
-from oxbow.llm import decontaminate, html, pii, toxicity
+from oxbow.llm import chat, decontaminate, html, pii, simhash, toxicity
 
 ENGLISH = "There is a story that was told of the old man and the sea, and it was the best that he had for all of them that are in the town. " * 2
 FINNISH = "Vanha kalastaja kertoi kylän lapsille tarinan merestä, jossa suuret kalat uivat syvällä ja myrskyt kaatoivat veneitä joka syksy. " * 2
@@ -218,3 +219,42 @@ def test_long_unbroken_texts_take_linear_time(run):
     began = time.process_time()
     assert pii.Field([]).spans(f"a.b1@c.de {run}")[0][0] == (0, 0, 9)
     assert time.process_time() - began < 30
+
+
+def test_typed_conversations(spark):
+    parts = '[{"type": "text", "text": "see <|end|> "}, {"type": "image", "ref": "i.png", "width": 600, "height": 400}, {"type": "document", "ref": "d.pdf", "pages": 3}]'
+    turns = spark.createDataFrame([(1, 1, "assistant", "fine"), (1, 0, "user", parts), (2, 0, "user", '[{"type": "audio", "ref": "a.wav", "seconds": 2}]')], "conv_id long, turn long, role string, text string")
+    segments = chat.conversations(turns, typed=True)
+    assert {r.conv_id: [tuple(x) for x in r.attachments] for r in segments.collect()} == {1: [("image", "i.png", 425), ("document", "d.pdf", 2400)], 2: [("audio", "a.wav", 50)]}
+    told = {r.conv_id: (r.n_turns, r.n_attachments, r.n_tokens, r.loss_chars) for r in chat.read_back(segments).collect()}
+    assert told == {1: (2, 2, 6 + 425 + 2400 + 1, 4), 2: (1, 1, 50, 0)}
+    assert {(r.conv_id, r.n_attachments) for r in chat.read_back(chat.conversations(turns)).collect()} == {(1, 0), (2, 0)}
+
+
+def test_one_long_conversation_is_split_and_read_in_order(spark, monkeypatch):
+    monkeypatch.setattr(chat, "SEGMENT", 500)
+    rows = [(7, k, ("user", "assistant")[k % 2], f"text {k} <|end|> " * (k % 5)) for k in range(400)]
+    (got,) = chat.read_back(chat.conversations(spark.createDataFrame(rows[::-1], "conv_id long, turn long, role string, text string").repartition(6))).collect()
+    assert got.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in rows).encode()).hexdigest()
+
+
+def test_a_tree_keys_children_by_their_distance():
+    fps = np.unique(np.random.default_rng(4).integers(0, 1 << 20, 500).astype(np.uint64))
+    tree = simhash.Tree(fps)
+    assert sorted(tree.members[tree.root].tolist()) == list(range(len(fps)))
+    for node, edges in tree.edges.items():
+        assert sorted(x for c in edges.values() for x in tree.members[c].tolist()) == sorted(tree.members[node][1:].tolist())
+        assert all((tree.distance(tree.members[c], node) == k).all() for k, c in edges.items())
+
+
+def test_models_of_texts_without_words():
+    for texts in (["", ""], ["", "a b c"], ["!!", "?"]):
+        assert 0 <= toxicity.Model().fit(texts, [0, 1]).scorer().score("") <= 1
+    assert toxicity._best_cut(np.array([3.0, 2.0, 1.0, 0.0]), np.array([1, 1, 0, 0])) == 1.5
+
+
+def test_training_reads_whole_texts(spark):
+    docs = spark.createDataFrame([(k, "word " * 30_000 + ("zzxq zzxqs" if k % 2 else "end")) for k in range(12)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(12)], "doc_id long, toxic int")
+    scorer = toxicity.train(docs, labels).scorer()
+    assert scorer.score("zzxq zzxqs") > scorer.score("end word")
