@@ -17,7 +17,7 @@ pattern finds in one place is also found where it is written otherwise, and shap
 The field is trained piecewise: softmax weights by gradient descent, transitions and skip potentials from
 smoothed counts.  The labels are the base spans themselves (so no labelled data is needed), each shown twice: as it is, and
 without the signs that the patterns go by, so the softmax does not learn the patterns.  They come from at most TRAIN_DOCS
-documents, those of smallest hash of their texts, whole.  All texts are then scanned whole; every step takes time in
+different texts, those of smallest hash, whole.  All texts are then scanned whole; every step takes time in
 proportion to the text, also where it has no white space.
 
 Defined results: a null or empty text has no spans.  Repeated rows are scanned one by one.  An empty table gives no
@@ -356,7 +356,12 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame) -> Field:
     text = F.col("text").cast("string")
     chosen = docs.select(text.alias("text")).where(text.rlike(r"[0-9][0-9][0-9]|@")).select(F.xxhash64("text").alias("h"), "text")
-    return Field([r[0] for r in chosen.orderBy("h", "text").limit(TRAIN_DOCS).select("text").collect()])
+    # The hashes first, as a task may hold as many of the smallest as all: texts would be too much for the driver.
+    least = [r[0] for r in chosen.select("h").distinct().orderBy("h").limit(TRAIN_DOCS).collect()]
+    if not least:
+        return Field([])
+    rows = chosen.where(F.col("h") <= least[-1]).groupBy("h").agg(F.min("text").alias("text")).collect()
+    return Field([r.text for r in sorted(rows, key=lambda r: r.h)])
 
 
 def told(spans: list[tuple[int, int, int]]) -> str:

@@ -225,7 +225,10 @@ def test_typed_conversations(spark):
     parts = '[{"type": "text", "text": "see <|end|> "}, {"type": "image", "ref": "i.png", "width": 600, "height": 400}, {"type": "document", "ref": "d.pdf", "pages": 3}]'
     turns = spark.createDataFrame([(1, 1, "assistant", "fine"), (1, 0, "user", parts), (2, 0, "user", '[{"type": "audio", "ref": "a.wav", "seconds": 2}]')], "conv_id long, turn long, role string, text string")
     segments = chat.conversations(turns, typed=True)
-    assert {r.conv_id: [tuple(x) for x in r.attachments] for r in segments.collect()} == {1: [("image", "i.png", 425), ("document", "d.pdf", 2400)], 2: [("audio", "a.wav", 50)]}
+    attached = {1: [], 2: []}
+    for r in segments.orderBy("conv_id", "part", "nth").collect():
+        attached[r.conv_id] += [tuple(x) for x in r.attachments]
+    assert attached == {1: [("image", "i.png", 425), ("document", "d.pdf", 2400)], 2: [("audio", "a.wav", 50)]}
     told = {r.conv_id: (r.n_turns, r.n_attachments, r.n_tokens, r.loss_chars) for r in chat.read_back(segments).collect()}
     assert told == {1: (2, 2, 6 + 425 + 2400 + 1, 4), 2: (1, 1, 50, 0)}
     assert {(r.conv_id, r.n_attachments) for r in chat.read_back(chat.conversations(turns)).collect()} == {(1, 0), (2, 0)}
