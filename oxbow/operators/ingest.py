@@ -50,7 +50,7 @@ def fenced(df: DataFrame, producer: str, epoch: str, order: list[str]) -> DataFr
 class Admission:
     """The rules for one verse's submissions, in order: the outcome of each, and the offsets that accepted ones get.
 
-    An epoch below the producer's is Fenced; a higher one starts at sequence 0.  A sequence already seen is a Replay, with the
+    One without records is Empty, whatever else it says.  An epoch below the producer's is Fenced; a higher one starts at sequence 0.  A sequence already seen is a Replay, with the
     first receipt, if its digest is the same, an IdentityConflict if not, and Indeterminate once the window of the last
     `window` sequences has passed it.  Any other but the next is OutOfSequence.
     """
@@ -59,6 +59,8 @@ class Admission:
         self.next_offset, self.window, self.producers = next_offset, window, producers or {}
 
     def admit(self, producer, epoch: int, sequence: int, records: int, digest: str) -> tuple[str, int | None, int | None]:
+        if records < 1:
+            return "Empty", None, None
         known = self.producers.get(producer)
         if known is None or epoch > known["epoch"]:
             known = {"epoch": epoch, "highest": -1, "seen": {}}

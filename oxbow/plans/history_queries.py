@@ -10,7 +10,7 @@ from ..operators import blobs as B
 from ..operators import history as H
 from ..operators import ingest as I
 from ..operators import verify as V
-from ._registry import Tables, query
+from ._registry import SQL, Tables, query
 
 SEGMENT = 1000
 HIST, SUBS = ("history",), ("submissions",)
@@ -172,29 +172,54 @@ def epoch_fencing(t):
     return I.fenced(t.submissions(), "producer", "epoch", ["id"]).select("producer", "id", "epoch", "highest_epoch", "fenced")
 
 
-@query("admission")
+_ADMISSION = f"""with recursive {SQL["submissions"]},
+s as (select verse::varchar as verse, id * 2 as pos, producer, epoch, row_number() over (partition by producer, epoch order by id) - 1 as sequence, records, sha256(id::varchar) as digest from submissions),
+sent as (select * from s union all select * replace (pos + 1 as pos) from s where pos % 34 = 0 union all select * replace (pos + 1 as pos, 'other' as digest) from s where pos % 46 = 0 and pos % 34 <> 0),
+r as (select *, row_number() over (partition by producer order by pos) as rn from sent),
+st as (select producer, pos, rn, case when sequence = 0 then epoch else -1 end as top, case when sequence = 0 then 0 else -1 end as highest, case when sequence = 0 then 'Accepted' else 'OutOfSequence' end as outcome from r where rn = 1
+  union all select r.producer, r.pos, r.rn, case when r.epoch > top and sequence = 0 then r.epoch else top end,
+    case when r.epoch > top and sequence = 0 then 0 when r.epoch = top and sequence = highest + 1 then sequence else highest end,
+    case when r.epoch > top then case when sequence = 0 then 'Accepted' else 'OutOfSequence' end when r.epoch < top then 'Fenced' when sequence <= highest - 64 then 'Indeterminate'
+      when sequence <= highest then 'Seen' when sequence = highest + 1 then 'Accepted' else 'OutOfSequence' end
+  from st join r on r.producer = st.producer and r.rn = st.rn + 1),
+acc as (select r.*, sum(records) over (partition by verse order by r.pos)::bigint as next_offset from r join st using (producer, pos) where outcome = 'Accepted')
+select r.verse, r.pos, r.producer, r.epoch, r.sequence, r.records, r.digest, case when st.outcome <> 'Seen' then st.outcome when f.digest = r.digest then 'Replay' else 'IdentityConflict' end as outcome,
+  coalesce(a.next_offset - r.records, case when f.digest = r.digest then f.next_offset - f.records end) as first_offset, coalesce(a.next_offset, case when f.digest = r.digest then f.next_offset end) as next_offset
+from r join st using (producer, pos) left join acc a on a.producer = r.producer and a.pos = r.pos left join acc f on st.outcome = 'Seen' and f.producer = r.producer and f.epoch = r.epoch and f.sequence = r.sequence"""
+
+
+@query("admission", _ADMISSION)
 def admission(t):
     """The state machine over orders as submissions by order number: years are epochs, every 17th order is sent twice, every 23rd with other bytes."""
     s = t.submissions()
     s = H.running(s, ["producer", "epoch"], F.floor(F.col("id") / 10_000), ["id"], "sequence")
-    s = s.select("verse", (F.col("id") * 2).alias("pos"), "producer", "epoch", "sequence", "records", F.sha2(F.col("id").cast("string"), 256).alias("digest"))
-    again = s.where("pos % 34 = 0").withColumn("pos", F.col("pos") + 1)
-    other = s.where("pos % 46 = 0 and pos % 34 <> 0").withColumn("pos", F.col("pos") + 1).withColumn("digest", F.lit("other"))
-    return I.admit(s.unionByName(again).unionByName(other))
+    digest = F.sha2(F.col("id").cast("string"), 256)
+    sent = F.when(F.col("id") % 17 == 0, F.array(digest, digest)).when(F.col("id") % 23 == 0, F.array(digest, F.lit("other"))).otherwise(F.array(digest))
+    s = s.select("verse", "id", "producer", "epoch", "sequence", "records", F.posexplode(sent).alias("nth", "digest"))
+    return I.admit(s.withColumn("pos", F.col("id") * 2 + F.col("nth")))
 
 
 def _items(t: Tables) -> DataFrame:
     return t.history().select("verse", "offset", F.lit(1).alias("records"), F.octet_length("payload").alias("bytes"), "at_us")
 
 
-@query("chunk_sealing")
+def _cut_sql(fresh: str, why: str) -> str:
+    """The greedy cuts row by row; fresh: whether an item opens a batch, why: what is told of it, from the batch's records and size with it."""
+    return f"""with recursive {SQL["history"]}, items as (select verse, "offset" as o, octet_length(encode(payload)) as bytes, at_us from history),
+cut as (select verse, o, bytes, at_us, 0 as batch, 1 as records, bytes as size, at_us as opened, false as fresh, 0 as was_records, 0 as was_size, false as late from items where o = 0
+  union all select verse, o, bytes, at_us, batch + fresh::int, case when fresh then 1 else records + 1 end, case when fresh then bytes else size + bytes end, case when fresh then at_us else opened end, fresh, records, size, late
+  from (select i.*, batch, records, size, opened, i.at_us - opened >= {3_600_000_000 * 6} as late, {fresh} as fresh from cut join items i on i.verse = cut.verse and i.o = cut.o + 1))
+select verse, batch::bigint as batch, min(o) as first, max(o) as last, sum(bytes)::bigint as bytes, max({why}) as why from cut group by verse, batch"""
+
+
+@query("chunk_sealing", _cut_sql(f"i.at_us - opened >= {3_600_000_000 * 6} or records >= 100 or size >= 900", "case when records >= 100 then 'records' when size >= 900 then 'bytes' else '' end"))
 def chunk_sealing(t):
     """Sealed after placing: 100 records, 900 bytes, or an hour."""
     c = I.cuts(_items(t), "verse", "offset", I.cut_after, max_records=100, max_bytes=900, max_age_us=3_600_000_000 * 6)
     return c.groupBy("verse", "batch").agg(F.min("offset").alias("first"), F.max("offset").alias("last"), F.sum("bytes").alias("bytes"), F.max("why").alias("why"))
 
 
-@query("accumulator_cuts")
+@query("accumulator_cuts", _cut_sql(f"i.at_us - opened >= {3_600_000_000 * 6} or records + 1 > 100 or size + i.bytes > 900", "case when not fresh then '' when late then 'age' when was_records + 1 > 100 then 'records' else 'bytes' end"))
 def accumulator_cuts(t):
     """Flushed before an item that would not fit."""
     c = I.cuts(_items(t), "verse", "offset", I.cut_before, max_records=100, max_bytes=900, max_age_us=3_600_000_000 * 6)
@@ -307,11 +332,11 @@ def three_way_equality(t):
 
 
 @query("interval_coverage", """o as (select verse, "offset" from history where event_id % 2003 <> 0 union all select verse, "offset" from history where event_id = 5)
-select verse, count(*) as n, count(*) - count(distinct "offset") as duplicates, count(*) = max("offset") + 1 and count(distinct "offset") = max("offset") + 1 as exactly_once from o group by all""", HIST)
+select verse, count(*) as n, count(*) - count(distinct "offset") as duplicates, count(*) = any_value(e) and count(distinct "offset") = any_value(e) and max("offset") = any_value(e) - 1 as exactly_once from o join (select verse, count(*) as e from history group by all) using (verse) group by all""", HIST)
 def interval_coverage(t):
     h = t.history()
     o = h.where("event_id % 2003 <> 0").unionByName(h.where("event_id = 5")).select("verse", "offset")
-    ends = o.groupBy(F.col("verse").alias("e_verse")).agg((F.max("offset") + 1).alias("end"))
+    ends = h.groupBy(F.col("verse").alias("e_verse")).agg((F.max("offset") + 1).alias("end"))
     return V.coverage(o.join(ends, F.col("verse") == F.col("e_verse")), ["verse"], F.lit(0).cast("long"), F.col("end"))
 
 

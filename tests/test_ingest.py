@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 def test_admission_rules():
     a = I.Admission(window=2)
+    assert a.admit(1, 0, 0, 0, "x") == ("Empty", None, None)
     assert a.admit(1, 1, 1, 5, "x") == ("OutOfSequence", None, None)
     assert a.admit(1, 1, 0, 5, "x") == ("Accepted", 0, 5)
     assert a.admit(1, 1, 0, 5, "x") == ("Replay", 0, 5)
