@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .history import beside
+
 
 def layout(chunks: DataFrame, blob: str, order: list[str], length: str) -> DataFrame:
     """chunks with offset: where each lies in its blob, one after the other."""
@@ -60,6 +62,5 @@ def recovery_tail(log: DataFrame, n: int) -> DataFrame:
     """The last n slots of each verse (verse, slot, base, n_records) and whether each goes on from the one before."""
     tails = log.groupBy("verse").agg((F.max("slot") + 1).alias("tail")).withColumnRenamed("verse", "t_verse")
     part = log.join(tails, F.col("verse") == F.col("t_verse")).where(F.col("slot") >= F.col("tail") - n)
-    w = Window.partitionBy("verse").orderBy("slot")
-    before = F.lag(F.col("base") + F.col("n_records")).over(w)
-    return part.select("verse", "slot", "base", "n_records", (before.isNull() | (before == F.col("base"))).alias("continues"))
+    part = beside(part, ["verse"], F.floor(F.col("slot") / 1000), ["slot"], "before", F.col("base") + F.col("n_records"))
+    return part.select("verse", "slot", "base", "n_records", (F.col("before").isNull() | (F.col("before") == F.col("base"))).alias("continues"))

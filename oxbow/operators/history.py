@@ -11,22 +11,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running(df: DataFrame, by: list[str], slice_: Column, order: list[str], name: str, value: Column | None = None) -> DataFrame:
-    """df with name: the sum of value (1 if none) over the rows of by that come before; slice_ rises with order."""
+def running(df: DataFrame, by: list[str], slice_: Column, order: list, name: str, value: Column | None = None, largest: bool = False) -> DataFrame:
+    """df with name: the sum of value (1 if none) over the rows of by that come before; slice_ rises with order.
+
+    largest: their largest value instead, null before the first.
+    """
     value = F.lit(1) if value is None else value
+    told = F.max if largest else F.sum
+    start = F.lit(None if largest else 0).cast("long")
     df = df.withColumn("_slice", slice_).withColumn("_value", value.cast("long"))
-    totals = df.groupBy(*by, "_slice").agg(F.sum("_value").alias("_total"))
+    totals = df.groupBy(*by, "_slice").agg(told("_value").alias("_total"))
     before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*[F.col(c).alias(f"_k_{c}") for c in by], F.col("_slice").alias("_k_slice"), F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
+    totals = totals.select(*[F.col(c).alias(f"_k_{c}") for c in by], F.col("_slice").alias("_k_slice"), F.coalesce(told("_total").over(before), start).alias("_base"))
     inside = Window.partitionBy(*by, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("_inside", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
+    df = df.withColumn("_inside", F.coalesce(told("_value").over(inside), start))
     on = F.col("_slice").eqNullSafe(F.col("_k_slice"))
     for c in by:
         on = on & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-    df = df.join(totals, on).withColumn(name, F.col("_base") + F.col("_inside"))
+    df = df.join(totals, on).withColumn(name, F.greatest("_base", "_inside") if largest else F.col("_base") + F.col("_inside"))
     return df.drop("_slice", "_value", "_inside", "_base", "_k_slice", *[f"_k_{c}" for c in by])
 
 
+def beside(df: DataFrame, by: list[str], slice_: Column, order: list[str], name: str, value: Column, ahead: bool = False) -> DataFrame:
+    """df with name: value of the row before in by (ahead: of the one after), null at the end; slice_ rises with order.
+
+    Neighbours inside a slice come from its window; a slice's first row takes the last value of the slice before it, of
+    which there is one a slice, so no stream is one task's.  order should be total: ties are neighbours in any order.
+    """
+    df = df.withColumn("_slice", slice_).withColumn("_value", F.struct(value.alias("v")))
+    pick, near = (F.min_by, F.lead) if ahead else (F.max_by, F.lag)
+    edges = df.groupBy(*by, "_slice").agg(pick("_value", F.struct(*order)).alias("_last"))
+    edges = edges.select(*[F.col(c).alias(f"_k_{c}") for c in by], F.col("_slice").alias("_k_slice"), near("_last").over(Window.partitionBy(*by).orderBy("_slice")).alias("_edge"))
+    df = df.withColumn("_near", near("_value").over(Window.partitionBy(*by, "_slice").orderBy(*order)))
+    on = F.col("_slice").eqNullSafe(F.col("_k_slice"))
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    df = df.join(edges, on).withColumn(name, F.coalesce("_near", "_edge")["v"])
+    return df.drop("_slice", "_value", "_near", "_edge", "_k_slice", *[f"_k_{c}" for c in by])
+
+
 def dense_offsets(df: DataFrame, verse: str, slice_: Column, order: list[str], name: str = "offset") -> DataFrame:
     """Offsets from 0 in the order of each verse."""
     return running(df, [verse], slice_, order, name)
@@ -66,18 +89,20 @@ def tails(history: DataFrame) -> DataFrame:
     return history.groupBy("verse").agg((F.max("offset") + 1).alias("tail"))
 
 
+def _thousands(c: str) -> Column:
+    return F.floor(F.col(c) / 1000)
+
+
 def chain_violations(chunks: DataFrame) -> DataFrame:
     """Chunks (verse, position, base, n) whose base isn't the end of the one before; the first is not anchored."""
-    w = Window.partitionBy("verse").orderBy("position")
-    expected = F.lag(F.col("base") + F.col("n")).over(w)
-    return chunks.withColumn("expected", expected).where("expected is not null and base <> expected").select("verse", "position", "base", "expected")
+    chunks = beside(chunks, ["verse"], _thousands("position"), ["position"], "expected", F.col("base") + F.col("n"))
+    return chunks.where("expected is not null and base <> expected").select("verse", "position", "base", "expected")
 
 
 def generation_violations(chunks: DataFrame, active: Column) -> DataFrame:
     """Chunks (verse, position, generation) whose generation falls or is above the active one."""
-    w = Window.partitionBy("verse").orderBy("position")
-    before = F.lag("generation").over(w)
-    problem = F.when(F.col("generation") > active, "above_active").when(F.col("generation") < before, "falls")
+    chunks = beside(chunks, ["verse"], _thousands("position"), ["position"], "_before", F.col("generation"))
+    problem = F.when(F.col("generation") > active, "above_active").when(F.col("generation") < F.col("_before"), "falls")
     return chunks.withColumn("problem", problem).where("problem is not null").select("verse", "position", "generation", "problem")
 
 
@@ -100,8 +125,7 @@ def stripes(df: DataFrame, address: Column, n: int) -> DataFrame:
 def stripe_tails(addresses: DataFrame, by: list[str]) -> DataFrame:
     """Contiguous tail (first missing address), other tail (largest + 1) and holes between, by distinct addresses from 0."""
     d = addresses.select(*by, "address").distinct()
-    w = Window.partitionBy(*by).orderBy("address")
-    d = d.withColumn("dense", F.col("address") == F.row_number().over(w) - 1)
+    d = running(d, by, _thousands("address"), ["address"], "_place").withColumn("dense", F.col("address") == F.col("_place"))
     return d.groupBy(*by).agg(F.count_if("dense").alias("contiguous_tail"), (F.max("address") + 1).alias("tail"), (F.max("address") + 1 - F.count("*")).alias("holes"))
 
 
@@ -112,6 +136,5 @@ def contiguous_end(generations: DataFrame) -> DataFrame:
 
 def stalls(progress: DataFrame, seconds: float = 1.0) -> DataFrame:
     """Pairs of neighbouring steps (verse, at_us) more than so many seconds apart."""
-    w = Window.partitionBy("verse").orderBy("at_us")
-    gap = F.col("at_us") - F.lag("at_us").over(w)
-    return progress.withColumn("gap_us", gap).where(F.col("gap_us") > int(seconds * 1e6))
+    progress = beside(progress, ["verse"], F.floor(F.col("at_us") / 3_600_000_000), ["at_us"], "_before", F.col("at_us"))
+    return progress.withColumn("gap_us", F.col("at_us") - F.col("_before")).drop("_before").where(F.col("gap_us") > int(seconds * 1e6))

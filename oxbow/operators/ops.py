@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import saturating_sub
+from .history import beside
 
 
 def nearest_rank(df: DataFrame, by: list[str], value: str, quantiles: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
@@ -30,8 +31,8 @@ def throughput(acks: DataFrame, by: list[str], wall_s: Column) -> DataFrame:
 
 def outages(acks: DataFrame, by: list[str], seconds: float = 1.0, most: int = 5) -> DataFrame:
     """The first gaps of over so many seconds between commits (at_s)."""
-    w = Window.partitionBy(*by).orderBy("at_s")
-    gaps = acks.select(*by, F.lag("at_s").over(w).alias("from_s"), F.col("at_s").alias("to_s")).where(F.col("to_s") - F.col("from_s") > seconds)
+    a = beside(acks.select(*by, "at_s"), by, F.floor(F.col("at_s") / 3600), ["at_s"], "from_s", F.col("at_s"))
+    gaps = a.select(*by, "from_s", F.col("at_s").alias("to_s")).where(F.col("to_s") - F.col("from_s") > seconds)
     return gaps.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy("from_s", "to_s")).cast("long")).where(F.col("nth") <= most)
 
 
@@ -114,6 +115,37 @@ def coverage_matrix(catalog: DataFrame, reports: DataFrame, forced: tuple[int, .
     return catalog.join(last, "scenario", "left").withColumn("verdict", F.when(F.col("family").isin(*forced), "pass").otherwise(F.coalesce("verdict", F.lit("not_run"))))
 
 
+#: The first of these parts in a source's name tells its layer.
+LAYERS = (("producer", "producer"), ("server", "server"), ("object", "objects"), ("parquet", "parquet"), ("iceberg", "iceberg"), ("manifest", "consumer"), ("register", "consumer"))
+
+
+def claim_layer(source: Column, rules: tuple[tuple[str, str], ...] = LAYERS) -> Column:
+    """The layer that a verdict's source belongs to; missing without one, bundle if no rule holds.  rules: for a deployment's own names."""
+    out = F.when(F.coalesce(source, F.lit("")).isin("", "not supplied"), "missing")
+    for part, layer in rules:
+        out = out.when(source.contains(part), layer)
+    return out.otherwise("bundle")
+
+
+def claim_matrix(verdicts: DataFrame, table_state: Column, oracle: Column, rules: tuple[tuple[str, str], ...] = LAYERS) -> DataFrame:
+    """A row for each verdict (claim, verdict, source) with its layer, one for the table's presence and one for the oracle's.
+
+    table_state: verified, absent or another; oracle: present or another.
+    """
+    spark = verdicts.sparkSession
+    state = F.when(table_state == "verified", "pass").when(table_state == "absent", "observed").otherwise("not_run")
+    given = F.when(oracle == "present", "observed").otherwise("not_run")
+    none = F.lit(None).cast("string")
+    rows = verdicts.select("claim", "verdict", "source", claim_layer(F.col("source"), rules).alias("layer"))
+    rows = rows.unionByName(spark.range(1).select(F.lit("table presence").alias("claim"), state.alias("verdict"), none.alias("source"), F.lit("iceberg").alias("layer")))
+    return rows.unionByName(spark.range(1).select(F.lit("oracle").alias("claim"), given.alias("verdict"), none.alias("source"), F.lit("oracle").alias("layer")))
+
+
+def live(operations: DataFrame, key: str) -> DataFrame:
+    """The records that are left of a directory's operations (key, at, op publish|withdraw, ...): the last one of each key, unless it withdrew."""
+    return latest(operations, [key], ["at", "op"]).where("op = 'publish'").drop("op")
+
+
 def evidence_problems(verdicts: DataFrame, sources: DataFrame) -> DataFrame:
     """Verdicts (id, verdict, source) without declared evidence: pass and observed need a real source, others may be synthetic."""
     s = sources.select(F.col("source").alias("s_source"), "synthetic")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .history import beside, running
+
 
 def assert_empty(violations: DataFrame, what: str) -> None:
     if rows := violations.limit(5).collect():
@@ -34,15 +36,13 @@ def coverage(offsets: DataFrame, by: list[str], first: Column, next_: Column) ->
 
 def span_gaps(spans: DataFrame, by: list[str]) -> DataFrame:
     """Neighbouring spans (first, next), sorted, that don't meet: a duplicate starts where the one before did, and is a gap too."""
-    w = Window.partitionBy(*by).orderBy("first", "next")
-    s = spans.select(*by, "first", "next", F.lead("first").over(w).alias("following"))
+    s = beside(spans.select(*by, "first", "next"), by, F.floor(F.col("first") / 10_000), ["first", "next"], "following", F.col("first"), ahead=True)
     return s.where("following <> next").withColumn("duplicate", F.col("following") == F.col("first"))
 
 
-def ack_continuation(acks: DataFrame, by: list[str]) -> DataFrame:
-    """Acks (pos, first, next) that are empty or don't go on from the one that arrived before."""
-    w = Window.partitionBy(*by).orderBy("pos")
-    a = acks.withColumn("expected", F.lag("next").over(w))
+def ack_continuation(acks: DataFrame, by: list[str], slice_: Column) -> DataFrame:
+    """Acks (pos, first, next) that are empty or don't go on from the one that arrived before; slice_ rises with pos."""
+    a = beside(acks, by, slice_, ["pos"], "expected", F.col("next"))
     problem = F.when(F.col("next") <= F.col("first"), "empty").when(F.col("expected").isNotNull() & (F.col("first") != F.col("expected")), "jump")
     return a.withColumn("problem", problem).where("problem is not null").select(*by, "pos", "first", "next", "expected", "problem")
 
@@ -68,8 +68,6 @@ def producers_on_both(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def merge_traces(traces: DataFrame, slice_: Column) -> DataFrame:
     """Traces (actor, line) one after the other, numbered from 1."""
-    from .history import running
-
     return running(traces.withColumn("_all", F.lit(0)), ["_all"], slice_, ["actor", "line"], "global_seq").withColumn("global_seq", F.col("global_seq") + 1).drop("_all")
 
 

@@ -9,6 +9,7 @@ from ..functions import record_digest, safe_payload
 from ..operators import blobs as B
 from ..operators import history as H
 from ..operators import ingest as I
+from ..operators import recovery as R
 from ..operators import verify as V
 from ._registry import SQL, Tables, query
 
@@ -169,7 +170,7 @@ def sequence_gaps(t):
 
 @query("epoch_fencing", """select producer, id, epoch, max(epoch) over w as highest_epoch, epoch < max(epoch) over w as fenced from submissions window w as (partition by producer order by id rows unbounded preceding)""", SUBS)
 def epoch_fencing(t):
-    return I.fenced(t.submissions(), "producer", "epoch", ["id"]).select("producer", "id", "epoch", "highest_epoch", "fenced")
+    return I.fenced(t.submissions(), "producer", "epoch", ["id"], F.floor(F.col("id") / 10_000)).select("producer", "id", "epoch", "highest_epoch", "fenced")
 
 
 _ADMISSION = f"""with recursive {SQL["submissions"]},
@@ -226,6 +227,78 @@ def accumulator_cuts(t):
     return c.groupBy("verse", "batch").agg(F.min("offset").alias("first"), F.max("offset").alias("last"), F.sum("bytes").alias("bytes"), F.max("why").alias("why"))
 
 
+_BLOBS = f"""with recursive {SQL["history"]}, items as (select verse, "offset" as o, octet_length(encode(payload)) as bytes, at_us from history),
+cut as (select verse, o, bytes, at_us, 0 as batch, bytes as size, at_us as oldest, case when bytes >= 120 then 'size' else '' end as why from items where o = 0
+  union all select verse, o, bytes, at_us, batch, size, oldest, case when size >= 120 then 'size' when at_us - oldest >= {3_600_000_000 * 6} then 'linger' else '' end
+  from (select i.*, batch + (why <> '')::int as batch, case when why <> '' then i.bytes else size + i.bytes end as size, case when why <> '' then i.at_us else oldest end as oldest from cut join items i on i.verse = cut.verse and i.o = cut.o + 1))
+select verse, batch::bigint as batch, min(o) as first, max(o) as last, sum(bytes)::bigint as bytes, case max(why) when '' then 'drained' else max(why) end as why from cut group by verse, batch"""
+
+
+@query("blob_cuts", _BLOBS)
+def blob_cuts(t):
+    """Blobs of 120 bytes or six hours' wait, looked at when an item comes; what is left was drained."""
+    c = I.cuts(_items(t), "verse", "offset", I.cut_blob, target_bytes=120, linger_us=3_600_000_000 * 6)
+    return I.drained(c, "verse", "offset")
+
+
+#: What is sent to a log, in SQL that both engines read: some appends fail and are sent again, some are pointers, batches of two or rewrites.
+_WHICH = """case when id % 31 = 0 then 'bad_meta' when id % 37 = 0 then 'resend' when id % 41 = 0 then 'rewrite' when id % 43 = 0 then 'early_rewrite' when id % 7 = 0 then 'bad_ref'
+  when id % 25 = 0 and records >= 2 then 'bad_batch' when id % 5 = 0 and records >= 2 then 'batch' else 'plain' end"""
+_KIND = """case when which in ('batch', 'bad_batch') then 'batch' when which = 'bad_ref' then 'ref' when which = 'rewrite' and nth = 1 or which = 'early_rewrite' and nth = 0 then 'superseding' else 'chunk' end"""
+_ITEM = {
+    "base": "first_offset + case when item = 0 then 0 when which = 'bad_batch' and nth = 0 then 2 else 1 end",
+    "n": "case when kind <> 'batch' then records when item = 0 then 1 else records - 1 end",
+    "meta_ok": "not (which = 'bad_meta' and nth = 0 and id % 2 = 0)",
+    "cohort_ok": "not (which = 'bad_meta' and nth = 0 and id % 4 = 1)",
+    "generation_ok": "not (which = 'bad_meta' and nth = 0 and id % 4 = 3 and id % 3 <> 0)",
+    "frame_ok": "not (which = 'bad_meta' and nth = 0 and id % 4 = 3 and id % 3 = 0)",
+    "ref_n": "case when kind <> 'batch' then records when item = 0 then 1 else records - 1 end + case when which = 'bad_ref' and nth = 0 and id % 3 = 0 then 1 else 0 end",
+    "ref_id_ok": "not (which = 'bad_ref' and nth = 0 and id % 3 = 1)",
+    "ref_digest_ok": "not (which = 'bad_ref' and nth = 0 and id % 3 = 2)",
+}
+_APPENDS = f"""with recursive {SQL["submissions"]}, tried as (select *, {_KIND} as kind from (select *, {_WHICH} as which from submissions), (values (0), (1)) a(nth) where nth = 0 or which not in ('plain', 'batch')),
+items as (select verse::varchar as verse, first_offset * 2 + nth as pos, item, kind, {", ".join(f"{e} as {c}" for c, e in _ITEM.items())} from tried, (values (0), (1)) b(item) where item = 0 or kind = 'batch'),
+own as (select *, case when kind = 'superseding' then null when not meta_ok then 'sealed_metadata' when not cohort_ok then 'cohort' when not generation_ok then 'generation' when not frame_ok then 'frame' end as seal,
+  case when kind not in ('ref', 'batch') then null when ref_n <> n then 'ref_records' when not ref_id_ok then 'ref_id' when not ref_digest_ok then 'ref_digest' end as pointer from items),
+app as (select a.verse, a.pos, a.kind, a.base, a.n + coalesce(b.n, 0) as n, a.seal as early, coalesce(a.pointer, b.seal, case when b.base <> a.base + a.n then 'discontinuity' end, b.pointer) as late,
+  row_number() over (partition by a.verse order by a.pos) as rn from own a left join own b on b.verse = a.verse and b.pos = a.pos and b.item = 1 where a.item = 0),
+st as (select verse, 0::bigint as rn, null::bigint as pos, null::varchar as kind, 0::bigint as base, 0::bigint as n, 'appended' as outcome, 0::bigint as next_offset from (select distinct verse from app)
+  union all select verse, rn, pos, kind, base, n, outcome, case when outcome = 'appended' and kind <> 'superseding' then tail + n else tail end
+  from (select app.*, st.next_offset as tail, case when app.kind = 'superseding' then case when app.base + app.n <= st.next_offset then 'appended' else 'outside_log' end
+    else coalesce(app.early, case when app.base <> st.next_offset then 'discontinuity' end, app.late, 'appended') end as outcome from st join app on app.verse = st.verse and app.rn = st.rn + 1))
+select verse, pos, kind, base, n, outcome, next_offset from st where rn > 0"""
+
+
+@query("append_outcomes", _APPENDS)
+def append_outcomes(t):
+    s = t.submissions().withColumn("which", F.expr(_WHICH))
+    tries = F.when(F.col("which").isin("plain", "batch"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+    s = s.withColumn("nth", F.explode(tries)).withColumn("kind", F.expr(_KIND))
+    items = F.when(F.col("kind") == "batch", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    s = s.withColumn("item", F.explode(items))
+    return I.append(I.append_claims(s.select("verse", (F.col("first_offset") * 2 + F.col("nth")).alias("pos"), "item", "kind", *[F.expr(e).alias(c) for c, e in _ITEM.items()])))
+
+
+_OUTBOX = f"""with recursive {SQL["submissions"]}, ops as (select producer::varchar as journal, sequence * 4 as pos, 'admit' as op, id, case when id % 19 = 0 then 0 else records end as records from submissions
+  union all select producer::varchar, sequence * 4 + 1, 'admit', id, records from submissions where id % 7 = 0 union all select producer::varchar, sequence * 4 + 6, 'commit', id, 0 from submissions where id % 3 <> 0),
+r as (select *, row_number() over (partition by journal order by pos) as rn from ops),
+st as (select journal, 0::bigint as rn, null::bigint as pos, null::varchar as op, null::bigint as id, 'start' as outcome, []::bigint[] as waiting, []::bigint[] as durable, []::bigint[] as done from (select distinct journal from r)
+  union all select journal, rn, pos, op, id, outcome, case outcome when 'Admitted' then list_append(waiting, id) when 'Committed' then list_filter(waiting, lambda x: x <> id) else waiting end,
+    case outcome when 'Admitted' then list_append(durable, id) else durable end, case when outcome = 'Committed' and not list_contains(done, id) then list_append(done, id) else done end
+  from (select r.*, waiting, durable, done, case when r.op = 'commit' then 'Committed' when r.records < 1 then 'Empty' when list_contains(durable, r.id) then 'Duplicate' when len(waiting) >= 2 then 'Full' else 'Admitted' end as outcome
+    from st join r on r.journal = st.journal and r.rn = st.rn + 1))
+select journal, pos, op, id, outcome, len(waiting) as pending, len(durable) as durable, len(done) as committed, len(waiting) = 0 and len(durable) = len(done) as drained from st where rn > 0"""
+
+
+@query("continuity_outbox", _OUTBOX)
+def continuity_outbox(t):
+    """Customers' outboxes with room for two: every seventh order is admitted twice, two of three are committed after the next."""
+    s, i, q = t.submissions(), F.col("id"), F.col("sequence")
+    op = lambda pos, kind, records: F.struct(pos.alias("pos"), F.lit(kind).alias("op"), records.cast("long").alias("records"))
+    ops = F.array(op(q * 4, "admit", F.when(i % 19 == 0, 0).otherwise(F.col("records"))), F.when(i % 7 == 0, op(q * 4 + 1, "admit", F.col("records"))), F.when(i % 3 != 0, op(q * 4 + 6, "commit", F.lit(0))))
+    return I.continuity(s.select(F.col("producer").alias("journal"), "id", F.inline(F.array_compact(ops))), 2)
+
+
 @query("buffer_drop_oldest", """select verse, "offset", bytes <= 40 and n <= 500 and b <= 4000 as kept from (select *, sum(case when bytes <= 40 then 1 else 0 end) over w as n, sum(case when bytes <= 40 then bytes else 0 end) over w as b
   from (select verse, "offset", octet_length(encode(payload)) + producer % 40 as bytes from history) window w as (partition by verse order by "offset" desc rows unbounded preceding))""", HIST)
 def buffer_drop_oldest(t):
@@ -310,6 +383,39 @@ def recovery_tail(t):
     return B.recovery_tail(t.submissions().select("verse", F.col("id").alias("slot"), F.col("first_offset").alias("base"), F.col("records").alias("n_records")), 500)
 
 
+_TAIL = ("case when id % 101 = 0 then 'b' else 'a' end as cohort", "epoch as generation", "case when id % 97 = 0 then 2 else 1 end as frames")
+
+
+@query("recovered_tail", f"""kept as (select verse, id as slot, {", ".join(_TAIL)}, first_offset as base, records as n from submissions s where id % 83 <> 0 and id >= (select max(id) + 1 - 500 from submissions m where m.verse = s.verse)),
+p as (select *, case when cohort <> 'a' then 'cohort' when generation > 1997 then 'future_generation' when generation < lag(generation) over w then 'generation_regression' when frames <> 1 then 'frames' when base <> lag(base + n) over w then 'discontinuity' end as problem
+  from kept window w as (partition by verse order by slot))
+select verse, slot, problem from p""", SUBS)
+def recovered_tail(t):
+    """The last 500 slots of each verse, by the checks of a recovery."""
+    s = t.submissions().selectExpr("verse", "id as slot", *_TAIL, "first_offset as base", "records as n")
+    ends = s.groupBy(F.col("verse").alias("e_verse")).agg((F.max("slot") + 1).alias("end"))
+    s = s.where("slot % 83 <> 0").join(ends, F.col("verse") == F.col("e_verse")).where("slot >= end - 500")
+    return R.tail_problems(s, F.lit("a"), F.lit(1997)).select("verse", "slot", "problem")
+
+
+@query("checkpoint_problems", """select id, case when id % 11 = 0 then 'journal_mismatch' when id % 5 = 0 and first_offset <> 0 then 'missing_resume_hint' end as problem from submissions""", SUBS)
+def checkpoint_problems(t):
+    i = F.col("id")
+    c = t.submissions().select("id", "verse", (F.col("verse") + F.when(i % 11 == 0, 1).otherwise(0)).alias("journal"), F.col("first_offset").alias("next_offset"), F.when(i % 5 != 0, i).alias("hint"))
+    return R.checkpoint_problems(c, F.col("verse")).select("id", "problem")
+
+
+@query("pull_events", """bounds as (select verse, 100 as trim, max("offset") - 9 as tail from history group by all), readers as (select verse, tail, trim, unnest([20, 100, 150, tail - 1, tail, tail + 5]) as next_offset from bounds)
+select r.verse, r.next_offset, case when r.next_offset >= tail then 'caught_up' when r.next_offset < trim then 'gap' else 'record' end as event, case when r.next_offset < tail and r.next_offset >= trim then payload end as payload,
+  case when r.next_offset >= tail then r.next_offset when r.next_offset < trim then least(trim, tail) else r.next_offset + 1 end as goes_on from readers r left join history h on h.verse = r.verse and h."offset" = r.next_offset""", HIST)
+def pull_events(t):
+    h = t.history()
+    bounds = h.groupBy("verse").agg(F.lit(100).cast("long").alias("trim"), (F.max("offset") - 9).alias("tail"))
+    tail = F.col("tail")
+    readers = bounds.select("verse", F.posexplode(F.array(F.lit(20).cast("long"), F.lit(100).cast("long"), F.lit(150).cast("long"), tail - 1, tail, tail + 5)).alias("reader", "next_offset"))
+    return R.read_next(h, readers, bounds).drop("reader")
+
+
 @query("payload_resolution", """select doc_id as position, case when doc_id % 17 = 0 then 'missing' when doc_id % 9 = 0 then 'digest' end as problem, case when doc_id % 17 <> 0 and doc_id % 9 <> 0 then sha256(text) end as digest from documents where doc_id % 4 <> 0
   union all select doc_id, null, sha256(text) from documents where doc_id % 4 = 0""")
 def payload_resolution(t):
@@ -349,7 +455,7 @@ def ack_gaps(t):
   select verse, at_us + id as pos, first_offset as first, case when id % 77 = 0 then first_offset else next_offset end as "next", lag(case when id % 77 = 0 then first_offset else next_offset end) over (partition by verse order by at_us + id) as expected from submissions)) where problem is not null""", SUBS)
 def ack_continuation(t):
     a = t.submissions().select("verse", (F.col("at_us") + F.col("id")).alias("pos"), F.col("first_offset").alias("first"), F.when(F.col("id") % 77 == 0, F.col("first_offset")).otherwise(F.col("next_offset")).alias("next"))
-    return V.ack_continuation(a, ["verse"])
+    return V.ack_continuation(a, ["verse"], F.floor(F.col("pos") / (7 * 86_400_000_000)))
 
 
 @query("wal_classification", """select coalesce(s.k, p.k) as id, case when s.k is null then 'corrupt' when p.k is null then 'pending' else 'committed' end as state from (select distinct o_orderkey as k from orders where o_orderkey % 19 <> 0) s full join (select distinct l_orderkey as k from lineitem) p on s.k = p.k""")

@@ -10,6 +10,7 @@ from .. import functions as X
 from ..operators import history as H
 from ..operators import materialize as M
 from ..operators import ops as O
+from ..operators import recovery as R
 from ..operators import telemetry as T
 from ..operators.materialize import Field
 from ..sources import decode_wire, encode_ack, encode_hello, encode_submit
@@ -152,12 +153,19 @@ def evidence_check(t):
     return O.evidence_problems(v, p.select(F.col("p_brand").alias("source"), F.col("p_brand").endswith("1").alias("synthetic")).distinct().where("source not like '%3'"))
 
 
-@query("claim_matrix", f"""with {_VERDICTS} select id, verdict, case when source like '%1' then 'producer' when source like '%2' then 'canon' when source like '%4' then 'parquet' else 'other' end as layer from v union all select -1, 'not_run', 'iceberg' union all select -2, 'inconclusive', 'oracle'""")
+#: Sources of verdicts, in SQL that both engines read: names that hold one, several or none of the layers' parts.
+_SOURCE = """case id % 12 when 0 then 'run/producer.jsonl' when 1 then 'log/server-objects.log' when 2 then 'objects.json' when 3 then 'parquet-by-producer.json' when 4 then 'parquet.json' when 5 then 'iceberg-manifest.json'
+  when 6 then 'epoch-manifest.json' when 7 then 'register.json' when 8 then 'notes.md' when 9 then 'not supplied' when 10 then '' end"""
+
+
+@query("claim_matrix", f"""with v as (select p_partkey as id, p_name as claim, case p_size % 4 when 0 then 'pass' when 1 then 'observed' when 2 then 'not_run' else 'fail' end as verdict from part), s as (select *, {_SOURCE} as source from v)
+select claim, verdict, source, case when source is null or source in ('', 'not supplied') then 'missing' else coalesce((select layer from (values (1, 'producer', 'producer'), (2, 'server', 'server'), (3, 'object', 'objects'), (4, 'parquet', 'parquet'),
+  (5, 'iceberg', 'iceberg'), (6, 'manifest', 'consumer'), (7, 'register', 'consumer')) r(nth, part, layer) where contains(source, part) order by nth limit 1), 'bundle') end as layer from s
+union all select 'table presence', 'observed', null, 'iceberg' union all select 'oracle', 'not_run', null, 'oracle'""")
 def claim_matrix(t):
-    p, m = t["part"], F.col("p_size") % 4
-    layer = F.when(F.col("p_brand").endswith("1"), "producer").when(F.col("p_brand").endswith("2"), "canon").when(F.col("p_brand").endswith("4"), "parquet").otherwise("other")
-    v = p.select(F.col("p_partkey").alias("id"), F.when(m == 0, "pass").when(m == 1, "observed").when(m == 2, "not_run").otherwise("fail").alias("verdict"), layer.alias("layer"))
-    return v.unionByName(t.spark.sql("select * from values (-1L, 'not_run', 'iceberg'), (-2L, 'inconclusive', 'oracle') as c(id, verdict, layer)"))
+    m = F.col("p_size") % 4
+    v = t["part"].select(F.col("p_partkey").alias("id"), F.col("p_name").alias("claim"), F.when(m == 0, "pass").when(m == 1, "observed").when(m == 2, "not_run").otherwise("fail").alias("verdict"))
+    return O.claim_matrix(v.withColumn("source", F.expr(_SOURCE)), F.lit("absent"), F.lit("not supplied"))
 
 
 @query("event_feed", f"""with {_LOG}, f as (select "at", event_kind as kind, node as text from log where event_kind = 'down' union all select "at", event_kind, node from log where event_kind = 'recovered' union all select '9999', 'summary', count(*)::varchar from log)
@@ -187,13 +195,48 @@ def effective_writer(t):
     return d.join(named, F.col("verse") == F.col("a_verse")).select("owner", "verse", (F.col("serving") & O.fresh(F.lit(NOW)) & (F.col("published_at_ms") % 500 != 0) & (F.col("owner") == F.col("named"))).alias("effective"))
 
 
-@query("recovery_plan", f"""select verse, case when not bool_or({NOW} < published_at_ms + valid_for_ms) then 'no_live_owner' when count(*) filter (where {NOW} < published_at_ms + valid_for_ms and serving) > 1 then 'inconsistent' when bool_or({NOW} < published_at_ms + valid_for_ms and serving) then 'serving' else 'recoverable' end as state,
-  case when not bool_or({NOW} < published_at_ms + valid_for_ms) then 'wait_for_heartbeat' when count(*) filter (where {NOW} < published_at_ms + valid_for_ms and serving) > 1 then 'fence_all_but_one' when bool_or({NOW} < published_at_ms + valid_for_ms and serving) then 'none' else 'promote' end as action from directory group by all""", DIR)
+#: Facts of a stream, in SQL that both engines read: a tenth of the streams are new, another tenth seem so.
+_FACTS = {
+    "active": "k % 10 <> 0 and k % 2 = 0",
+    "quorum": "k % 9 <> 0",
+    "competing": "k % 11 = 0",
+    "repairable": "k % 10 <> 0 and k % 3 = 0",
+    "seal_incomplete": "k % 10 <> 0 and k % 7 < 3",
+    "boundary_known": "k % 10 <> 0 and k % 4 < 2",
+    "corrupt": "k % 10 <> 0 and k % 13 = 0",
+    "fresh": "k % 5 = 0",
+    "bootstrap": "k % 20 = 0 or k % 17 = 0",
+}
+
+
+@query("recovery_plan", f"""with f as (select p_partkey as k, mode from part, (values ('inspect'), ('safe_repair'), ('guided'), ('emergency')) m(mode)), d as (select k, mode, {", ".join(f"({e}) as {c}" for c, e in _FACTS.items())} from f),
+o as (select *, fresh and (active or seal_incomplete or boundary_known or corrupt or repairable) or bootstrap and not fresh as odd, seal_incomplete and not boundary_known and not active as unclear from d),
+g as (select *, case when odd then 'contradiction' when not quorum then 'no_quorum' when competing then 'competing' when corrupt then 'corrupt' when fresh and bootstrap then 'bootstrap' when fresh then 'empty' when unclear then 'ambiguous' else 'steps' end as situation from o),
+q as (select *, case when mode = 'guided' or (mode = 'emergency' and situation = 'ambiguous') then case situation when 'competing' then 'choose_register_history' when 'corrupt' then 'corrupt_chunk_disposition' when 'empty' then 'confirm_bootstrap' when 'ambiguous' then 'successor_boundary' end end as question from g),
+a as (select *, case when situation <> 'steps' or mode = 'inspect' then '' when mode = 'emergency' then concat_ws(',', case when repairable then 'repair_replica_value' end, case when boundary_known and not active then 'publish_derived_successor' end)
+  else concat_ws(',', case when repairable then 'repair_replica_value' end, case when seal_incomplete and boundary_known then 'complete_known_seal' end, case when boundary_known and not active and mode = 'guided' then 'publish_derived_successor' end, case when active then 'start_existing_owner' end) end as steps from q),
+b as (select *, situation not in ('steps', 'bootstrap') or (situation = 'steps' and mode <> 'inspect' and steps = '' and not active) as stuck from a),
+c as (select *, case when question is not null then 'hold_for_operator' when stuck then 'reject_blocked' when situation = 'bootstrap' then case when mode = 'inspect' then '' else 'bootstrap_new_journal' end else steps end as actions from b)
+select k, mode, situation, case when question is not null then 'needs_guidance' when stuck then 'blocked' when mode = 'inspect' then 'inspecting' when mode = 'emergency' then 'emergency_ready' else 'ready' end as state,
+  case when odd then 'inconsistent_evidence' else concat_ws(',', case when competing then 'competing_registers' end, case when not quorum then 'missing_quorum' end, case when corrupt then 'corrupt_chunk' end, case when repairable then 'repairable_replica' end,
+    case when seal_incomplete then 'incomplete_known_seal' end, case when active then 'active_generation' end, case when fresh then 'fresh_prefix' end, case when boundary_known then 'derived_successor' end, case when situation = 'ambiguous' then 'ambiguous_successor' end) end as findings,
+  actions, question, not regexp_matches(actions, 'publish|bootstrap') as reversible, regexp_matches(actions, 'seal|publish|start|bootstrap') as needs_fence from c""")
 def recovery_plan(t):
-    f = O.fresh(F.lit(NOW))
-    n = t.directory().groupBy("verse").agg(F.count_if(f).alias("fresh"), F.count_if(f & F.col("serving")).alias("serving"))
-    pick = lambda *x: F.when(F.col("fresh") == 0, x[0]).when(F.col("serving") > 1, x[1]).when(F.col("serving") == 1, x[2]).otherwise(x[3])
-    return n.select("verse", pick("no_live_owner", "inconsistent", "serving", "recoverable").alias("state"), pick("wait_for_heartbeat", "fence_all_but_one", "none", "promote").alias("action"))
+    """Every mode's plan for each part as a stream."""
+    modes = F.explode(F.array(*[F.lit(m) for m in ("inspect", "safe_repair", "guided", "emergency")]))
+    facts = t["part"].select(F.col("p_partkey").alias("k"), modes.alias("mode"))
+    p = R.plan(facts.select("k", "mode", *[F.expr(e).alias(c) for c, e in _FACTS.items()]))
+    return p.select("k", "mode", "situation", "state", F.array_join("findings", ",").alias("findings"), F.array_join("actions", ",").alias("actions"), "question", "reversible", "needs_fence")
+
+
+@query("directory_live", """ops as (select owner, published_at_ms as "at", 'publish' as op, verse, serving from directory union all select owner, published_at_ms + 50000, 'publish', verse, not serving from directory where published_at_ms % 400 = 0
+  union all select owner, published_at_ms + 60000, 'withdraw', verse, serving from directory where published_at_ms % 300 = 0 union all select owner, published_at_ms + 10, 'withdraw', verse, serving from directory where published_at_ms % 800 = 0)
+select owner, "at", verse, serving from (select *, row_number() over (partition by owner order by "at" desc) as rn from ops) where rn = 1 and op = 'publish'""", DIR)
+def directory_live(t):
+    d, at = t.directory(), F.col("published_at_ms")
+    op = lambda later, kind, serving: F.struct((at + later).alias("at"), F.lit(kind).alias("op"), serving.alias("serving"))
+    ops = F.array(op(0, "publish", F.col("serving")), F.when(at % 400 == 0, op(50_000, "publish", ~F.col("serving"))), F.when(at % 300 == 0, op(60_000, "withdraw", F.col("serving"))), F.when(at % 800 == 0, op(10, "withdraw", F.col("serving"))))
+    return O.live(d.select("owner", "verse", F.inline(F.array_compact(ops))), "owner")
 
 
 @query("secret_scan", r"""select doc_id, regexp_matches(t, 'AKIA[0-9A-Z]{16}|(?i:AWS_SECRET_ACCESS_KEY)|Bearer\s+[A-Za-z0-9\-._~+/]+=*|BEGIN (RSA |OPENSSH )?PRIVATE KEY|"SecretAccessKey"\s*:|(?i:X-Amz-Signature=)') as secret from (select doc_id, text as t from documents)""")
