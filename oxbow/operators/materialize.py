@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import uuid
 from dataclasses import asdict, dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import digest
+from ..sources.files import Files, cut
 
 #: Declared kind: the column's type, and the kinds of JSON value that it takes.
 KINDS = {"utf8": ("string", ("STRING",)), "bool": ("boolean", ("BOOLEAN",)), "int64": ("bigint", ("BIGINT",)), "float64": ("double", ("BIGINT", "DECIMAL", "DOUBLE"))}
@@ -69,26 +69,40 @@ def batch_limits(ranges: DataFrame, max_records: int, max_bytes: int) -> DataFra
 
 
 def walk(manifests: DataFrame, heads: DataFrame, most: int = 256) -> DataFrame:
-    """The manifests of each chain from its head back, with problem where a link breaks; one join a level, at most `most`.
+    """The manifests of each chain from its head back, with problem where a link breaks.
 
-    manifests: ref, previous, verse, epoch, first, next; heads: ref.  A manifest that a chain has had, or whose range doesn't end
-    where the later one begins, is a problem and ends its chain.
+    manifests: ref (one row each), previous, verse, epoch, first, next; heads: ref.  A manifest that is missing, that a chain has
+    had, whose range doesn't end where the later one begins, or of another verse is a problem and ends its chain; so does the
+    most-th step.  Links are judged pair by pair and jumped by doubled steps, so a chain costs the logarithm of its length in joins.
     """
-    m = manifests
-    level = heads.select(F.col("ref").alias("head"), F.col("ref").alias("want"), F.lit(None).cast("long").alias("end"), F.lit(None).cast("string").alias("of"), F.array().cast("array<string>").alias("had"))
-    out = None
-    for depth in range(most + 1):
-        j = level.join(m, F.col("want") == F.col("ref"), "left")
-        problem = F.when(F.lit(depth == most), "too long").when(F.array_contains("had", F.col("want")), "cycle").when(F.col("ref").isNull(), "missing").when(F.col("end").isNotNull() & (F.col("next") != F.col("end")), "gap").when(F.col("of").isNotNull() & (F.col("verse") != F.col("of")), "identity")
-        j = j.withColumn("problem", problem).withColumn("depth", F.lit(depth))
-        rows = j.select("head", "depth", F.col("want").alias("ref"), "verse", "epoch", "first", "next", "problem", "previous", "had")
-        rows = rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows.persist()
-        told = rows.drop("previous", "had")
-        out = told if out is None else out.unionByName(told)
-        level = rows.where("problem is null and previous is not null").select("head", F.col("previous").alias("want"), F.col("first").alias("end"), F.col("verse").alias("of"), F.array_append("had", F.col("ref")).alias("had"))
-        if level.isEmpty():
+    m = cut(manifests.select("ref", "previous", "verse", "epoch", "first", "next"))
+    older = m.select(*[F.col(c).alias(f"o_{c}") for c in ("ref", "verse", "epoch", "first", "next")])
+    problem = F.when(F.col("o_ref").isNull(), "missing").when(F.col("o_next") != F.col("first"), "gap").when(F.col("o_verse") != F.col("verse"), "identity")
+    links = m.where("previous is not null").join(older, F.col("previous") == F.col("o_ref"), "left").withColumn("problem", problem)
+    links = cut(links.select(F.col("ref").alias("from"), F.col("previous").alias("to"), "problem", "o_verse", "o_epoch", "o_first", "o_next"))
+
+    rows = heads.select(F.col("ref").alias("head"), F.lit(0).alias("depth"), "ref")
+    jumps, step = links.where("problem is null").select("from", "to"), 1
+    while step <= most:
+        rows = rows.unionByName(rows.join(jumps, F.col("ref") == F.col("from")).select("head", (F.col("depth") + step).alias("depth"), F.col("to").alias("ref")))
+        then = jumps.select(F.col("from").alias("t_from"), F.col("to").alias("t_to"))
+        jumps, step = cut(jumps.join(then, F.col("to") == F.col("t_from")).select("from", F.col("t_to").alias("to"))), step * 2
+        if jumps.isEmpty():
             break
-    return out
+    rows = cut(rows.where(F.col("depth") <= most))
+
+    again = Window.partitionBy("head", "ref").orderBy("depth")  # at most `most` rows
+    rows = rows.withColumn("again", F.row_number().over(again) > 1)
+    ends = rows.groupBy(F.col("head").alias("e_head")).agg(F.min(F.when(F.col("again"), F.col("depth"))).alias("_end"))
+    rows = rows.join(ends, F.col("head") == F.col("e_head")).where("_end is null or depth <= _end")
+    good = rows.join(m.withColumnRenamed("ref", "m_ref"), F.col("ref") == F.col("m_ref"), "left")
+    told = F.when(F.col("depth") == most, "too long").when(F.col("again"), "cycle").when(F.col("m_ref").isNull(), "missing")
+    good = good.select("head", "depth", "ref", "verse", "epoch", "first", "next", told.alias("problem"))
+    broken = rows.where(~F.col("again") & (F.col("depth") < most)).join(links.where("problem is not null"), F.col("ref") == F.col("from"))
+    had = rows.where(~F.col("again")).select(F.col("head").alias("h_head"), F.col("ref").alias("h_ref"))
+    broken = broken.join(had, (F.col("head") == F.col("h_head")) & (F.col("to") == F.col("h_ref")), "left")
+    late = F.when(F.col("depth") + 1 == most, "too long").when(F.col("h_ref").isNotNull(), "cycle").otherwise(F.col("problem"))
+    return good.unionByName(broken.select("head", (F.col("depth") + 1).alias("depth"), F.col("to").alias("ref"), F.col("o_verse").alias("verse"), F.col("o_epoch").alias("epoch"), F.col("o_first").alias("first"), F.col("o_next").alias("next"), late.alias("problem")))
 
 
 # --- fenced progress: one register for each binding, in a file system that only creates exclusively ---
@@ -111,37 +125,27 @@ class Conflict(Exception):
 
 
 class ProgressStore:
-    """Registers as files named by their version, each created exclusively: a version exists once, so a stale writer can't win."""
+    """Registers as files named by their version, each created exclusively: a version exists once, so a stale writer can't win.
 
-    def __init__(self, folder: str):
-        self.folder = folder
-        os.makedirs(folder, exist_ok=True)
+    folder: on a file system that driver and executors share.
+    """
+
+    def __init__(self, folder: str, spark: SparkSession | None = None):
+        self.files = Files(spark or SparkSession.active(), folder)
 
     def _name(self, workload: str, canon: str, verse: str) -> str:
-        return os.path.join(self.folder, hashlib.sha256("\0".join((workload, canon, verse)).encode()).hexdigest()[:32])
+        return hashlib.sha256("\0".join((workload, canon, verse)).encode()).hexdigest()[:32]
 
     def observe(self, workload: str, canon: str, verse: str) -> Register | None:
         at = self._name(workload, canon, verse)
-        versions = sorted(int(x) for x in os.listdir(at)) if os.path.isdir(at) else []
-        if not versions:
-            return None
-        with open(os.path.join(at, f"{versions[-1]:012d}")) as f:
-            return Register(**json.load(f))
+        versions = self.files.names(f"{at}/[0-9]*")
+        return Register(**json.loads(self.files.read(f"{at}/{versions[-1]}"))) if versions else None
 
     def _create(self, r: Register) -> Register:
-        at = self._name(r.workload, r.canon, r.verse)
-        os.makedirs(at, exist_ok=True)
-        tmp = os.path.join(self.folder, f".{uuid.uuid4().hex}")
-        with open(tmp, "w") as f:
-            json.dump(asdict(r), f)
-            f.flush()
-            os.fsync(f.fileno())
         try:
-            os.link(tmp, os.path.join(at, f"{r.version:012d}"))
+            self.files.create(f"{self._name(r.workload, r.canon, r.verse)}/{r.version:012d}", json.dumps(asdict(r)).encode())
         except FileExistsError as e:
             raise Conflict(f"version {r.version} exists") from e
-        finally:
-            os.unlink(tmp)
         return r
 
     def acquire(self, workload: str, canon: str, verse: str, token: str, attempts: int = 32) -> Register:
@@ -168,12 +172,14 @@ class ProgressStore:
 
 
 class ParquetWorkload:
-    """Ranges of one verse to Parquet with manifests: reconcile, apply, advance, so that each range's output is made exactly once."""
+    """Ranges of one verse to Parquet with manifests: reconcile, apply, advance, so that each range's output is made exactly once.
+
+    folder: on a file system that driver and executors share; the driver handles manifests and digests, executors write the rows.
+    """
 
     def __init__(self, spark: SparkSession, store: ProgressStore, folder: str, fields: list[Field], schema_ref: str, workload: str, canon: str, verse: str, token: str, max_records: int = 100_000, max_bytes: int = 64 << 20):
-        self.spark, self.store, self.folder, self.fields, self.schema_ref = spark, store, folder, fields, schema_ref
+        self.spark, self.store, self.files, self.fields, self.schema_ref = spark, store, Files(spark, folder), fields, schema_ref
         self.max_records, self.max_bytes = max_records, max_bytes
-        os.makedirs(folder, exist_ok=True)
         self.held = store.acquire(workload, canon, verse, token)
 
     def _base(self, first: int, next_: int) -> str:
@@ -181,17 +187,24 @@ class ParquetWorkload:
         return hashlib.sha256("\0".join(map(str, (h.workload, h.canon, h.verse, h.epoch, first, next_))).encode()).hexdigest()
 
     def reconcile(self, first: int, next_: int) -> tuple[str, str | None]:
-        """(Absent | AlreadyCommitted | Indeterminate, commit reference): what is there of the range's output."""
-        for name in sorted(os.listdir(self.folder)):
-            if name.endswith(".json"):
-                with open(os.path.join(self.folder, name)) as f:
-                    m = json.load(f)
-                if (m["workload"], m["canon"], m["verse"], m["first"], m["next"]) == (self.held.workload, self.held.canon, self.held.verse, first, next_) and m["epoch"] <= self.held.epoch and m["schema_ref"] == self.schema_ref:
-                    path = os.path.join(self.folder, m["file"])
-                    if os.path.exists(path) and _file_digest(path) == m["digest"]:
-                        return "AlreadyCommitted", f"parquet:{m['file']}#{m['digest']}"
-                    return "Indeterminate", None
-        return ("Indeterminate", None) if os.path.exists(os.path.join(self.folder, f"{self._base(first, next_)}.parquet")) else ("Absent", None)
+        """(Absent | AlreadyCommitted | Indeterminate, commit reference): what is there of the range's output.
+
+        Only the held epoch's objects count: an earlier owner's have other names and are not adopted.  Anything half done (a temporary
+        folder, a file without its manifest or the reverse, another digest or owner) is Indeterminate, and is not deleted.
+        """
+        base, h = self._base(first, next_), self.held
+        if self.files.names(f".{base}-*"):
+            return "Indeterminate", None
+        there = self.files.exists(f"{base}.parquet")
+        if not self.files.exists(f"{base}.json"):
+            return ("Indeterminate" if there else "Absent"), None
+        m = json.loads(self.files.read(f"{base}.json"))
+        if m["schema_ref"] != self.schema_ref:
+            raise ValueError(f"the range was written by schema {m['schema_ref']}")
+        ours = (m["workload"], m["canon"], m["verse"], m["first"], m["next"], m["epoch"], m["owner_token"]) == (h.workload, h.canon, h.verse, first, next_, h.epoch, h.token)
+        if not ours or not there or self.files.digest(f"{base}.parquet") != m["digest"]:
+            return "Indeterminate", None
+        return "AlreadyCommitted", f"parquet:{m['file']}#{m['digest']}"
 
     def process(self, records: DataFrame, first: int, next_: int) -> str | None:
         """The commit reference of the range's output; records: offset, payload.  An empty range gives none."""
@@ -206,45 +219,112 @@ class ParquetWorkload:
             raise Conflict(f"frontier {now.frontier}, range from {first}")
         state, ref = self.reconcile(first, next_)
         if state == "Indeterminate":
-            raise Conflict("a file of the range is there, its manifest isn't")
+            raise Conflict("the range's output is there in part")
         if state == "Absent":
             ref = self._apply(records, first, next_, now.last_commit_ref)
         self.held = self.store.advance(now, next_, ref)
         return ref
 
     def _apply(self, records: DataFrame, first: int, next_: int, previous: str | None) -> str:
-        n, distinct, lo, hi, size = records.agg(F.count("*"), F.count_distinct("offset"), F.min("offset"), F.max("offset"), F.sum(F.octet_length("payload"))).first()
-        if (n, distinct, lo, hi) != (next_ - first, next_ - first, first, next_ - 1):
+        rows = project(records.withColumn("_size", F.octet_length("payload")), self.fields, keep=("offset", "_size"))
+        needed = [F.max(F.col(f.name).isNull()).alias(f"_null_{f.name}") for f in self.fields if not f.nullable]
+        told = rows.agg(F.count("*").alias("n"), F.count_distinct("offset").alias("distinct"), F.min("offset").alias("least"), F.max("offset").alias("most"), F.sum("_size").alias("size"), F.min(F.when(F.col("problem").isNotNull(), F.struct("offset", "problem"))).alias("bad"), *needed).first()
+        if (told.n, told.distinct, told.least, told.most) != (next_ - first, next_ - first, first, next_ - 1):
             raise ValueError("records don't cover the range exactly once")
-        if n > self.max_records or (size or 0) > self.max_bytes:
+        if told.n > self.max_records or (told["size"] or 0) > self.max_bytes:
             raise ValueError("the range is more than a batch may hold")
-        rows = project(records, self.fields, keep=("offset",))
-        if bad := rows.where("problem is not null").select("offset", "problem").limit(3).collect():
-            raise ValueError(f"payloads: {bad}")
-        for f in self.fields:
-            if not f.nullable and rows.where(F.col(f.name).isNull()).limit(1).count():
-                raise ValueError(f"{f.name} is null")
-        base = self._base(first, next_)
-        tmp = os.path.join(self.folder, f".{base}-{uuid.uuid4().hex}")
-        rows.orderBy("offset").drop("offset", "problem").coalesce(1).write.parquet(tmp)  # a batch is bounded: one file
-        (part,) = [x for x in os.listdir(tmp) if x.endswith(".parquet")]
-        final = os.path.join(self.folder, f"{base}.parquet")
-        os.link(os.path.join(tmp, part), final)  # fails if it is there
-        hashed = _file_digest(final)
-        m = {"workload": self.held.workload, "epoch": self.held.epoch, "owner_token": self.held.token, "schema_ref": self.schema_ref, "canon": self.held.canon, "verse": self.held.verse, "first": first, "next": next_, "file": f"{base}.parquet", "digest": hashed, "previous": previous}
-        with open(os.path.join(self.folder, f"{base}.json"), "x") as f:
-            json.dump(m, f)
+        if told.bad:
+            raise ValueError(f"payload at {told.bad.offset}: {told.bad.problem}")
+        if null := [c.removeprefix("_null_") for c, v in told.asDict().items() if c.startswith("_null_") and v]:
+            raise ValueError(f"null: {null}")
+        base, h = self._base(first, next_), self.held
+        tmp = f".{base}-{uuid.uuid4().hex}"
+        rows.orderBy("offset").drop("offset", "_size", "problem").coalesce(1).write.parquet(self.files.uri(tmp))  # a batch is bounded: one file
+        (part,) = self.files.names(f"{tmp}/*.parquet")
+        self.files.publish(f"{tmp}/{part}", f"{base}.parquet")  # fails if it is there
+        hashed = self.files.digest(f"{base}.parquet")
+        m = {"workload": h.workload, "epoch": h.epoch, "owner_token": h.token, "schema_ref": self.schema_ref, "canon": h.canon, "verse": h.verse, "first": first, "next": next_, "file": f"{base}.parquet", "digest": hashed, "previous": previous}
+        self.files.create(f"{base}.json", json.dumps(m).encode())
+        self.files.delete(tmp)
         return f"parquet:{base}.parquet#{hashed}"
 
 
-def _file_digest(path: str) -> str:
-    with open(path, "rb") as f:
-        return f"sha256:{hashlib.file_digest(f, 'sha256').hexdigest()}"
+class Broken(Exception):
+    """What a register names can't be read as one whole chain of manifests and files."""
+
+
+def chain(files: Files, register: Register, most: int = 256) -> list[dict]:
+    """The manifests that a register's last commit names, the oldest first; files are opened by name, a folder is never listed.
+
+    At most `most` small files, read on the driver.  Broken: no commit, a link that is missing, seen before, of another stream or
+    schema or not adjoining, a head of a later epoch, or one that doesn't end at the register's frontier.
+    """
+    if register.last_commit_ref is None:
+        raise Broken("no commit")
+    back: list[dict] = []
+    ref, seen = register.last_commit_ref, set()
+    while ref is not None:
+        if len(back) >= most:
+            raise Broken("too long")
+        if ref in seen:
+            raise Broken("cycle")
+        seen.add(ref)
+        name, _, hashed = ref.removeprefix("parquet:").partition("#")
+        if not name.endswith(".parquet") or {"/", "\\", "\0"} & set(name) or ".." in name:
+            raise Broken(f"unsafe name: {name}")
+        at = name.removesuffix(".parquet") + ".json"
+        if not files.exists(at):
+            raise Broken(f"missing manifest: {at}")
+        m = json.loads(files.read(at))
+        if (m["file"], m["digest"]) != (name, hashed):
+            raise Broken(f"manifest of another file: {at}")
+        if back and m["next"] != back[-1]["first"]:
+            raise Broken("gap")
+        if back and any(m[k] != back[-1][k] for k in ("canon", "verse", "schema_ref")):
+            raise Broken("identity")
+        back.append(m)
+        ref = m["previous"]
+    head = back[0]
+    if (head["workload"], head["canon"], head["verse"]) != (register.workload, register.canon, register.verse):
+        raise Broken("the head is another stream's")
+    if head["epoch"] > register.epoch:
+        raise Broken("the head is of a later epoch")
+    if head["next"] != register.frontier:
+        raise Broken("the frontier is not where the chain ends")
+    return back[::-1]
+
+
+def summarize(spark: SparkSession, folder: str, register: Register) -> tuple[dict, DataFrame]:
+    """A register's output: facts of it, and the digests of its rows (verse, offset, source_digest) by offset.
+
+    Every file of the chain is read: its bytes must have the manifest's digest (executors hash them; a batch bounds a file), and
+    all must have the same columns.  A file's digests take its offsets in order; rows without one take none.
+    """
+    files = Files(spark, folder)
+    manifests = chain(files, register)
+    paths = [files.uri(m["file"]) for m in manifests]
+    if gone := [m["file"] for m in manifests if not files.exists(m["file"])]:
+        raise Broken(f"missing file: {gone[0]}")
+    bytes_ = spark.read.format("binaryFile").load(paths).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("digest"))
+    given = {m["file"]: m["digest"] for m in manifests}
+    if wrong := [r.file for r in bytes_.toLocalIterator() if given[r.file] != r.digest]:
+        raise Broken(f"digest of {wrong[0]}")
+    columns = spark.read.parquet(paths[0]).columns
+    if any(spark.read.parquet(p).columns != columns for p in paths[1:]):
+        raise Broken("files of different columns")
+    data = spark.read.parquet(*paths).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    facts = {
+        "verse": register.verse, "binding_epoch": manifests[-1]["epoch"], "row_count": data.count(), "schema_fields": ",".join(columns), "first_offset": manifests[0]["first"],
+        "next_offset": manifests[-1]["next"], "manifest_count": len(manifests), "canonical_manifest": manifests[-1]["file"].removesuffix(".parquet") + ".json",
+    }
+    if "source_digest" not in columns:
+        return facts, spark.createDataFrame([], "verse string, offset long, source_digest string")
+    starts = spark.createDataFrame([(m["file"], m["first"]) for m in manifests], "s_file string, s_first long")
+    d = data.select(F.col("_file").alias("file"), "_row", "source_digest").join(F.broadcast(starts), F.col("file") == F.col("s_file"))  # a row a manifest
+    return facts, pair_digests(d, F.col("s_first"), "_row").select(F.lit(register.verse).alias("verse"), "offset", "source_digest")
 
 
 def pair_digests(rows: DataFrame, first: Column, order: str) -> DataFrame:
     """Offsets of materialized digests: rows without a digest take none, so later ones move up."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("file").orderBy(order)
     return rows.where("source_digest is not null").withColumn("offset", first + F.row_number().over(w) - 1)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +15,9 @@ from ..operators import materialize as M
 from ..operators import ops as O
 from ..operators import recovery as R
 from ..operators import telemetry as T
-from ..operators.materialize import Field
+from ..operators.materialize import Field, ParquetWorkload, ProgressStore
 from ..sources import decode_wire, encode_ack, encode_hello, encode_submit
+from ..sources.files import cut, delete_at_end, shared_folder
 from ._registry import Tables, query
 
 HIST, SUBS, LEDGER, DIR, SAMPLES = ("history",), ("submissions",), ("ledger",), ("directory",), ("samples",)
@@ -333,9 +337,36 @@ def digest_pairing(t):
     return h.select("file", (F.col("offset") + 100).alias("offset"), "source_digest")
 
 
-@query("parquet_summary", """select verse, count(*) as row_count, min("offset") as first_offset, max("offset") + 1 as next_offset, count(distinct "offset" // 100) as manifest_count from history group by all""", HIST)
+#: Records of a materialized range.
+BATCH = 1000
+
+
+def _materialized(t: Tables) -> list[tuple[dict, DataFrame]]:
+    """Every verse's history written range by range, by two owners in turn, and what its register names read back."""
+    h = cut(t.history().select("verse", "offset", "payload"))
+    folder = f"{shared_folder(t.spark)}/materialized-{uuid.uuid4().hex}"
+    delete_at_end(t.spark, folder)
+    store, out = ProgressStore(f"{folder}/progress", t.spark), []
+    for verse, end in h.groupBy("verse").agg((F.max("offset") + 1).alias("end")).orderBy("verse").collect():
+        mine = h.where(F.col("verse") == verse).drop("verse")
+        for first in range(0, end, BATCH):
+            w = ParquetWorkload(t.spark, store, f"{folder}/out", [Field("k", "int64"), Field("source_digest", "utf8", False)], "s.v1", "w", "c", verse, f"owner-{first // BATCH // 2}")
+            w.process(mine.where((F.col("offset") >= first) & (F.col("offset") < first + BATCH)), first, min(first + BATCH, end))
+        out.append(M.summarize(t.spark, f"{folder}/out", store.observe("w", "c", verse)))
+    return out
+
+
+@query("parquet_summary", f"""n as (select verse, count(*) as row_count, min("offset") as first_offset, max("offset") + 1 as next_offset, max("offset") // {BATCH} as last, count(distinct "offset" // {BATCH}) as manifest_count from history group by all)
+select verse, (last // 2 + 1)::bigint as binding_epoch, row_count, 'k,source_digest' as schema_fields, first_offset, next_offset, manifest_count,
+  sha256(concat_ws(chr(0), 'w', 'c', verse, (last // 2 + 1)::bigint::varchar, (last * {BATCH})::varchar, next_offset::varchar)) || '.json' as canonical_manifest from n""", HIST)
 def parquet_summary(t):
-    return t.history().groupBy("verse").agg(F.count("*").alias("row_count"), F.min("offset").alias("first_offset"), (F.max("offset") + 1).alias("next_offset"), F.count_distinct(F.floor(F.col("offset") / 100)).alias("manifest_count"))
+    schema = "verse string, binding_epoch long, row_count long, schema_fields string, first_offset long, next_offset long, manifest_count long, canonical_manifest string"
+    return t.spark.createDataFrame([facts for facts, _ in _materialized(t)], schema)
+
+
+@query("parquet_digests", """select verse, "offset", 'sha256:' || sha256(payload) as source_digest from history""", HIST)
+def parquet_digests(t):
+    return reduce(DataFrame.unionByName, [digests for _, digests in _materialized(t)])
 
 
 # --- telemetry ---

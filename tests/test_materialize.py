@@ -1,5 +1,7 @@
 import glob
+import hashlib
 import os
+import random
 
 import pytest
 from oxbow.operators import materialize as M
@@ -72,3 +74,73 @@ def test_walk_finds_cycles_gaps_and_missing(spark):
     assert got[("e", 1)] == "gap"
     assert got[("f", 1)] == "missing"
     assert got[("g", 1)] == "identity"
+
+
+def test_walk_is_the_links_one_by_one(spark):
+    rng = random.Random(5)
+    refs = [f"r{i}" for i in range(60)]
+    rows = {r: (rng.choice([*refs[max(0, i - 4) : i + 3], None, "gone"]), rng.choice("vvvvvw"), i % 7 == 0) for i, r in enumerate(refs)}
+    table = [(r, p, v, 1, 0, 1 if odd else 0) for r, (p, v, odd) in rows.items()]
+    m = spark.createDataFrame(table, "ref string, previous string, verse string, epoch int, first long, next long").repartition(3)
+    want = set()
+    for head in [*refs, "gone"]:
+        ref, newer, seen = head, None, []
+        while True:
+            problem = "too long" if len(seen) == 9 else "cycle" if ref in seen else "missing" if ref not in rows else "gap" if newer and rows[ref][2] else "identity" if newer and rows[ref][1] != rows[newer][1] else None
+            want.add((head, len(seen), ref, problem))
+            if problem or rows[ref][0] is None:
+                break
+            seen.append(ref)
+            newer, ref = ref, rows[ref][0]
+    got = M.walk(m, spark.createDataFrame([(r,) for r in [*refs, "gone"]], "ref string"), 9).select("head", "depth", "ref", "problem").collect()
+    assert len(got) == len(want)
+    assert set(map(tuple, got)) == want
+
+
+def test_leftovers_and_other_epochs(spark, tmp_path):
+    a = work(spark, tmp_path)
+    os.mkdir(f"{tmp_path}/out/.{a._base(0, 3)}-x")
+    assert a.reconcile(0, 3) == ("Indeterminate", None)
+    with pytest.raises(Conflict):
+        a.process(records(spark, 0, 3), 0, 3)
+    a._apply(records(spark, 3, 5), 3, 5, None)
+    assert not [x for x in os.listdir(f"{tmp_path}/out") if x.startswith(f".{a._base(3, 5)}")]
+    b = work(spark, tmp_path, "t2")
+    assert b.reconcile(3, 5) == ("Absent", None)  # an earlier epoch's objects are not adopted
+    other = ParquetWorkload(spark, a.store, f"{tmp_path}/out", FIELDS, "s.v2", "w", "c", "v", "t2")
+    b._apply(records(spark, 3, 5), 3, 5, None)
+    with pytest.raises(ValueError):
+        other.reconcile(3, 5)
+
+
+def test_a_version_is_made_once(spark, tmp_path):
+    store = ProgressStore(f"{tmp_path}/p", spark)
+    held = store.acquire("w", "c", "v", "t1")
+    store.advance(held, 5, "x")
+    with pytest.raises(Conflict):
+        store._create(M.replace(held, version=1))
+
+
+def test_summary_reads_what_the_register_names(spark, tmp_path):
+    a = work(spark, tmp_path)
+    a.process(records(spark, 0, 3), 0, 3)
+    b = work(spark, tmp_path, "t2")
+    b.process(records(spark, 3, 7), 3, 7)
+    (tmp_path / "out" / "stray.parquet").write_bytes(b"no")
+    register = b.store.observe("w", "c", "v")
+    facts, digests = M.summarize(spark, f"{tmp_path}/out", register)
+    assert (facts["row_count"], facts["first_offset"], facts["next_offset"], facts["manifest_count"], facts["binding_epoch"]) == (7, 0, 7, 2, 2)
+    assert facts["schema_fields"] == "id,amount,source_digest"
+    want = {r.offset: "sha256:" + hashlib.sha256(r.payload.encode()).hexdigest() for r in records(spark, 0, 7).collect()}
+    assert {r.offset: r.source_digest for r in digests.collect()} == want
+    for wrong in (dict(frontier=6), dict(epoch=1), dict(verse="x"), dict(last_commit_ref=None), dict(last_commit_ref="parquet:../x.parquet#1")):
+        with pytest.raises(M.Broken):
+            M.summarize(spark, f"{tmp_path}/out", M.replace(register, **wrong))
+    file = glob.glob(f"{tmp_path}/out/{a._base(0, 3)}.parquet")[0]
+    whole = open(file, "rb").read()
+    open(file, "wb").write(whole + b"x")
+    with pytest.raises(M.Broken, match="digest"):
+        M.summarize(spark, f"{tmp_path}/out", register)
+    os.unlink(file)
+    with pytest.raises(M.Broken, match="missing file"):
+        M.summarize(spark, f"{tmp_path}/out", register)
