@@ -368,11 +368,11 @@ def told(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string())])
+_OUT = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_spans", pa.int64())])
 
 
 def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """doc_id, how many base spans of each kind, their digest, and all spans of each document."""
+    """doc_id, how many base spans of each kind, their digest, all spans and how many there are, of each document."""
     held = docs.sparkSession.sparkContext.broadcast(field or train(docs))
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,11 +381,11 @@ def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
             for t in batch.column(1):
                 base, spans = held.value.spans(t.as_py() or "")
                 kinds = [k for _, k, _ in base]
-                rows.append((*(kinds.count(k) for k in range(len(KINDS))), hashlib.sha256(told(base).encode()).hexdigest(), told(spans)))
+                rows.append((*(kinds.count(k) for k in range(len(KINDS))), hashlib.sha256(told(base).encode()).hexdigest(), told(spans), len(spans)))
             columns = zip(*rows, strict=True) if rows else [[]] * (len(_OUT) - 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(_OUT)[1:], strict=True))], schema=_OUT)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def redact(docs: DataFrame) -> DataFrame:
