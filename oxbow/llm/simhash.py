@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import fresh, read, stage
+from ._common import fresh, join_small, read, stage
 from ._graph import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -221,9 +221,12 @@ def groups(prints: DataFrame) -> DataFrame:
     """fp, component_id: the smallest doc_id of all that are linked; prints: doc_id, fp, staged."""
     own = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(own.select("fp")))
-    own = own.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = own.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
-    return own.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("g_fp"), F.col("root").alias("g_root"), "component_id")
+    own = stage(own.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "root"), "rooted")
+    linked, alone = own.where("root is not null"), own.where("root is null")
+    least = linked.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
+    linked = join_small(linked, least, F.col("root") == F.col("r"), F.col("fp"), "inner")  # one component may have most fingerprints
+    linked = linked.select(F.col("fp").alias("g_fp"), F.col("root").alias("g_root"), "component_id")
+    return linked.unionByName(alone.select(F.col("fp").alias("g_fp"), F.col("fp").alias("g_root"), F.col("least").alias("component_id")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
