@@ -36,31 +36,40 @@ def admit_stream(submissions: DataFrame, window: int = 64) -> DataFrame:
 SEALED = "verse string, batch long, records long, bytes long, why string"
 
 
+def seal(held: tuple[int, int, int, int], items: list[tuple[int, int]], now: int, max_records: int, max_bytes: int, max_age_ms: int) -> tuple[tuple[int, int, int, int], list[tuple[int, int, int, str]]]:
+    """The open batch (number, records, bytes, when its first item came) after items (records, bytes) that came now, and the batches sealed on the way.
+
+    One as old as max_age_ms is sealed before the items get in, so a stream that never pauses is sealed by age too.
+    """
+    n, records, size, opened = held
+    out = []
+    if records and now - opened >= max_age_ms:
+        out.append((n, records, size, "age"))
+        n, records, size = n + 1, 0, 0
+    for r, b in items:
+        opened = opened if records else now
+        records, size = records + r, size + b
+        why = "records" if records >= max_records else "bytes" if size >= max_bytes else ""
+        if why:
+            out.append((n, records, size, why))
+            n, records, size = n + 1, 0, 0
+    return (n, records, size, opened), out
+
+
 def seal_stream(items: DataFrame, max_records: int, max_bytes: int, max_age_ms: int) -> DataFrame:
     """Batches (verse, batch, records, bytes, why) of a stream of items (verse, pos, records, bytes), sealed after placing or by processing-time age."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, records, size = state.get if state.exists else (0, 0, 0)
-        out = []
-        if state.hasTimedOut:
-            if records:
-                out.append((key[0], n, records, size, "age"))
-                n, records, size = n + 1, 0, 0
-            state.update((n, 0, 0))
-        else:
-            rows = pd.concat(list(batches), ignore_index=True).sort_values("pos", kind="stable")
-            for r in rows.itertuples(index=False):
-                records, size = records + int(r.records), size + int(r.bytes)
-                why = "records" if records >= max_records else "bytes" if size >= max_bytes else ""
-                if why:
-                    out.append((key[0], n, records, size, why))
-                    n, records, size = n + 1, 0, 0
-            state.update((n, records, size))
-            if records:
-                state.setTimeoutDuration(max_age_ms)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in SEALED.split(", ")])
-
-    return items.groupBy("verse").applyInPandasWithState(run, SEALED, "n long, records long, bytes long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        held = tuple(state.get) if state.exists else (0, 0, 0, 0)
+        rows = pd.DataFrame(columns=["pos", "records", "bytes"]) if state.hasTimedOut else pd.concat(list(batches), ignore_index=True).sort_values("pos", kind="stable")
+        now = state.getCurrentProcessingTimeMs()
+        held, out = seal(held, [(int(r.records), int(r.bytes)) for r in rows.itertuples(index=False)], now, max_records, max_bytes, max_age_ms)
+        state.update(held)
+        if held[1]:
+            state.setTimeoutDuration(max(1, held[3] + max_age_ms - now))
+        yield pd.DataFrame([(key[0], *x) for x in out], columns=[c.split()[0] for c in SEALED.split(", ")])
+
+    return items.groupBy("verse").applyInPandasWithState(run, SEALED, "n long, records long, bytes long, opened long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def dedup_stream(rows: DataFrame, key: list[str], at: str, within: str) -> DataFrame:
