@@ -104,16 +104,17 @@ def read_next(history: DataFrame, readers: DataFrame, bounds: DataFrame) -> Data
     return out.select("reader", "verse", "next_offset", "event", "payload", goes_on.alias("goes_on"))
 
 
-def tail_problems(tail: DataFrame, cohort: Column, active: Column) -> DataFrame:
+def tail_problems(tail: DataFrame, cohort: Column, active: Column, exact: bool = False) -> DataFrame:
     """Recovered chunks (verse, slot, cohort, generation, frames, base, n) with problem, by the first check that fails; the first chunk is not anchored.
 
-    Checked are the cohort, a generation above the active one or below that of the chunk before, the single frame, and that offsets go on.    """
+    Checked are the cohort, a generation above the active one or below that of the chunk before (exact: any but the active one), the
+    single frame, and that offsets go on.
+    """
     t = beside(tail, ["verse"], F.floor(F.col("slot") / 1000), ["slot"], "_before", F.struct("generation", (F.col("base") + F.col("n")).alias("end")))
-    problem = (
-        F.when(F.col("cohort") != cohort, "cohort")
-        .when(F.col("generation") > active, "future_generation")
-        .when(F.col("generation") < F.col("_before.generation"), "generation_regression")
-        .when(F.col("frames") != 1, "frames")
-        .when(F.col("base") != F.col("_before.end"), "discontinuity")
-    )
+    problem = F.when(F.col("cohort") != cohort, "cohort")
+    if exact:
+        problem = problem.when(F.col("generation") != active, "generation_mismatch")
+    else:
+        problem = problem.when(F.col("generation") > active, "future_generation").when(F.col("generation") < F.col("_before.generation"), "generation_regression")
+    problem = problem.when(F.col("frames") != 1, "frames").when(F.col("base") != F.col("_before.end"), "discontinuity")
     return t.withColumn("problem", problem).drop("_before")

@@ -89,3 +89,12 @@ def test_recovery_plans(spark):
     assert planned(spark, "emergency", boundary_known=True) == ("emergency_ready", ["publish_derived_successor"], None)
     assert planned(spark, "emergency", seal_incomplete=True)[2] == "successor_boundary"
     assert planned(spark, "guided", quorum=None) == ("blocked", ["reject_blocked"], None)
+
+
+def test_recovered_tails_by_both_policies(spark):
+    rows = [("v", 998, "a", 1, 1, 5, 2), ("v", 999, "a", 2, 1, 7, 3), ("v", 1000, "a", 1, 1, 10, 1), ("v", 1001, "a", 3, 1, 11, 1), ("v", 1002, "a", 2, 2, 12, 1), ("v", 1003, "b", 2, 1, 13, 1), ("v", 1004, "a", 2, 1, 20, 1)]
+    tail = spark.createDataFrame(rows, "verse string, slot long, cohort string, generation long, frames int, base long, n long")
+    at_most = {r.slot: r.problem for r in R.tail_problems(tail, F.lit("a"), F.lit(2)).collect()}
+    assert at_most == {998: None, 999: None, 1000: "generation_regression", 1001: "future_generation", 1002: "generation_regression", 1003: "cohort", 1004: "discontinuity"}
+    exact = {r.slot: r.problem for r in R.tail_problems(tail, F.lit("a"), F.lit(2), exact=True).collect()}
+    assert exact == {998: "generation_mismatch", 999: None, 1000: "generation_mismatch", 1001: "generation_mismatch", 1002: "frames", 1003: "cohort", 1004: "discontinuity"}
