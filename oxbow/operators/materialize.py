@@ -5,9 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import digest
@@ -127,19 +128,33 @@ class Conflict(Exception):
 class ProgressStore:
     """Registers as files named by their version, each created exclusively: a version exists once, so a stale writer can't win.
 
-    folder: on a file system that driver and executors share.
+    folder: on a file system that driver and executors share.  Versions are dense and never change, so only those after the
+    newest one seen are looked for.
     """
 
     def __init__(self, folder: str, spark: SparkSession | None = None):
         self.files = Files(spark or SparkSession.active(), folder)
+        self._seen: dict[str, Register] = {}
 
     def _name(self, workload: str, canon: str, verse: str) -> str:
         return hashlib.sha256("\0".join((workload, canon, verse)).encode()).hexdigest()[:32]
 
     def observe(self, workload: str, canon: str, verse: str) -> Register | None:
         at = self._name(workload, canon, verse)
-        versions = self.files.names(f"{at}/[0-9]*")
-        return Register(**json.loads(self.files.read(f"{at}/{versions[-1]}"))) if versions else None
+        seen = self._seen.get(at)
+        if seen is None:
+            versions = self.files.names(f"{at}/[0-9]*")
+            newest = int(versions[-1]) if versions else None
+        else:
+            newest, step = seen.version, 1
+            while self.files.exists(f"{at}/{newest + step:012d}"):
+                newest, step = newest + step, step * 2
+            while step > 1:
+                step //= 2
+                newest += step * self.files.exists(f"{at}/{newest + step:012d}")
+        if newest is not None and (seen is None or newest > seen.version):
+            seen = self._seen[at] = Register(**json.loads(self.files.read(f"{at}/{newest:012d}")))
+        return seen
 
     def _create(self, r: Register) -> Register:
         try:
@@ -150,14 +165,18 @@ class ProgressStore:
 
     def acquire(self, workload: str, canon: str, verse: str, token: str, attempts: int = 32) -> Register:
         """Epoch 1 if new; the same token keeps its epoch; another takes over with the next epoch, frontier and last commit carried on."""
+        return self.open(workload, canon, verse, token, attempts)[0]
+
+    def open(self, workload: str, canon: str, verse: str, token: str, attempts: int = 32) -> tuple[Register, bool]:
+        """What acquire gives, and whether its epoch was begun by this call."""
         for _ in range(attempts):
             now = self.observe(workload, canon, verse)
             if now and now.token == token:
-                return now
+                return now, False
             try:
                 if now is None:
-                    return self._create(Register(workload, canon, verse, 1, token, 0))
-                return self._create(replace(now, epoch=now.epoch + 1, token=token, version=now.version + 1))
+                    return self._create(Register(workload, canon, verse, 1, token, 0)), True
+                return self._create(replace(now, epoch=now.epoch + 1, token=token, version=now.version + 1)), True
             except Conflict:
                 continue
         raise Conflict("too many attempts")
@@ -171,29 +190,77 @@ class ProgressStore:
         return self._create(replace(now, frontier=frontier, last_commit_ref=commit_ref, version=now.version + 1))
 
 
+@dataclass(frozen=True)
+class Staged:
+    """A range's rows, written under a name that no one else has; told: what its records were."""
+
+    told: Row
+    path: str
+    digest: str
+
+
+def _told(fields: list[Field]) -> list[Column]:
+    """Of a range's rows (offset, _size, the fields, problem): what shows whether they may be published."""
+    needed = [F.max(F.col(f.name).isNull()).alias(f"_null_{f.name}") for f in fields if not f.nullable]
+    return [F.count("*").alias("n"), F.count_distinct("offset").alias("distinct"), F.min("offset").alias("least"), F.max("offset").alias("most"), F.sum("_size").alias("size"), F.min(F.when(F.col("problem").isNotNull(), F.struct("offset", "problem"))).alias("bad"), *needed]
+
+
+#: Ranges that a task writes, about.
+RANGES_A_TASK = 32
+
+
+def stage(spark: SparkSession, records: DataFrame, fields: list[Field], folder: str) -> dict[tuple[str, int], Staged]:
+    """The ranges of many verses, each one written to a file of its own, by (verse, first).
+
+    records: verse, first (of its range), offset, payload; read twice.  However many ranges there are, they take the same few
+    jobs; the driver holds one row a range.  Nothing is published: ParquetWorkload.process_staged does that, range by range.
+    folder: on the file system that the ranges are published on.
+    """
+    files, at = Files(spark, folder), uuid.uuid4().hex
+    name = F.sha2(F.concat_ws("\0", "verse", F.col("first").cast("string")), 256)
+    rows = project(records.withColumn("_size", F.octet_length("payload")), fields, keep=("verse", "first", "offset", "_size"))
+    told = rows.groupBy("verse", "first").agg(*_told(fields)).withColumn("_name", name).collect()
+    if not told:
+        return {}
+    parts = -(-len(told) // RANGES_A_TASK)
+    columns = [f.name for f in fields]  # source_digest comes last, as project has it
+    columns.sort(key=lambda c: c == "source_digest")
+    out = rows.withColumn("range", name).repartition(parts, "range").sortWithinPartitions("range", "offset")
+    out.select("range", *columns).write.partitionBy("range").parquet(files.uri(at))
+    made = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(files.uri(at))
+    made = made.select("path", F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("digest")).collect()
+    found = {r.path.split("/")[-2].removeprefix("range="): r for r in made}
+    if len(found) != len(made) or found.keys() != {r["_name"] for r in told}:
+        raise RuntimeError("not one file a range")
+    return {(r.verse, r["first"]): Staged(r, found[r["_name"]].path, found[r["_name"]].digest) for r in told}
+
+
 class ParquetWorkload:
     """Ranges of one verse to Parquet with manifests: reconcile, apply, advance, so that each range's output is made exactly once.
 
     folder: on a file system that driver and executors share; the driver handles manifests and digests, executors write the rows.
     """
 
-    def __init__(self, spark: SparkSession, store: ProgressStore, folder: str, fields: list[Field], schema_ref: str, workload: str, canon: str, verse: str, token: str, max_records: int = 100_000, max_bytes: int = 64 << 20):
-        self.spark, self.store, self.files, self.fields, self.schema_ref = spark, store, Files(spark, folder), fields, schema_ref
+    def __init__(self, spark: SparkSession, store: ProgressStore, folder: str | Files, fields: list[Field], schema_ref: str, workload: str, canon: str, verse: str, token: str, max_records: int = 100_000, max_bytes: int = 64 << 20):
+        self.spark, self.store, self.files, self.fields, self.schema_ref = spark, store, folder if isinstance(folder, Files) else Files(spark, folder), fields, schema_ref
         self.max_records, self.max_bytes = max_records, max_bytes
-        self.held = store.acquire(workload, canon, verse, token)
+        self.held, begun = store.open(workload, canon, verse, token)
+        self._left: list[str] | None = [] if begun else None  # an epoch just begun has left nothing
 
     def _base(self, first: int, next_: int) -> str:
         h = self.held
         return hashlib.sha256("\0".join(map(str, (h.workload, h.canon, h.verse, h.epoch, first, next_))).encode()).hexdigest()
 
-    def reconcile(self, first: int, next_: int) -> tuple[str, str | None]:
+    def reconcile(self, first: int, next_: int, left: list[str] | None = None) -> tuple[str, str | None]:
         """(Absent | AlreadyCommitted | Indeterminate, commit reference): what is there of the range's output.
 
+        left: the temporary names there, if the caller has listed them.
+
         Only the held epoch's objects count: an earlier owner's have other names and are not adopted.  Anything half done (a temporary
         folder, a file without its manifest or the reverse, another digest or owner) is Indeterminate, and is not deleted.
         """
         base, h = self._base(first, next_), self.held
-        if self.files.names(f".{base}-*"):
+        if self.files.names(f".{base}-*") if left is None else [x for x in left if x.startswith(f".{base}-")]:
             return "Indeterminate", None
         there = self.files.exists(f"{base}.parquet")
         if not self.files.exists(f"{base}.json"):
@@ -208,6 +275,23 @@ class ParquetWorkload:
 
     def process(self, records: DataFrame, first: int, next_: int) -> str | None:
         """The commit reference of the range's output; records: offset, payload.  An empty range gives none."""
+        self._left = None
+        return self._process(first, next_, None, lambda previous: self._apply(records, first, next_, previous))
+
+    def process_staged(self, staged: Staged | None, first: int, next_: int) -> str | None:
+        """The same for a range that stage() has written: no job runs, and what earlier runs of this epoch left is listed once."""
+        if self._left is None:
+            self._left = self.files.names(".*-*")
+
+        def apply(previous: str | None) -> str:
+            if staged is None:
+                raise ValueError("records don't cover the range exactly once")
+            self._check(staged.told, first, next_)
+            return self._commit(staged.path, staged.digest, first, next_, previous)
+
+        return self._process(first, next_, self._left, apply)
+
+    def _process(self, first: int, next_: int, left: list[str] | None, apply: Callable[[str | None], str]) -> str | None:
         if next_ < first:
             raise ValueError("inverted range")
         if first == next_:
@@ -217,18 +301,16 @@ class ParquetWorkload:
             raise Conflict("fenced")
         if now.frontier != first:
             raise Conflict(f"frontier {now.frontier}, range from {first}")
-        state, ref = self.reconcile(first, next_)
+        state, ref = self.reconcile(first, next_, left)
         if state == "Indeterminate":
             raise Conflict("the range's output is there in part")
         if state == "Absent":
-            ref = self._apply(records, first, next_, now.last_commit_ref)
+            ref = apply(now.last_commit_ref)
         self.held = self.store.advance(now, next_, ref)
         return ref
 
-    def _apply(self, records: DataFrame, first: int, next_: int, previous: str | None) -> str:
-        rows = project(records.withColumn("_size", F.octet_length("payload")), self.fields, keep=("offset", "_size"))
-        needed = [F.max(F.col(f.name).isNull()).alias(f"_null_{f.name}") for f in self.fields if not f.nullable]
-        told = rows.agg(F.count("*").alias("n"), F.count_distinct("offset").alias("distinct"), F.min("offset").alias("least"), F.max("offset").alias("most"), F.sum("_size").alias("size"), F.min(F.when(F.col("problem").isNotNull(), F.struct("offset", "problem"))).alias("bad"), *needed).first()
+    def _check(self, told: Row, first: int, next_: int) -> None:
+        """ValueError if a range's rows may not be published."""
         if (told.n, told.distinct, told.least, told.most) != (next_ - first, next_ - first, first, next_ - 1):
             raise ValueError("records don't cover the range exactly once")
         if told.n > self.max_records or (told["size"] or 0) > self.max_bytes:
@@ -237,15 +319,22 @@ class ParquetWorkload:
             raise ValueError(f"payload at {told.bad.offset}: {told.bad.problem}")
         if null := [c.removeprefix("_null_") for c, v in told.asDict().items() if c.startswith("_null_") and v]:
             raise ValueError(f"null: {null}")
-        base, h = self._base(first, next_), self.held
-        tmp = f".{base}-{uuid.uuid4().hex}"
+
+    def _apply(self, records: DataFrame, first: int, next_: int, previous: str | None) -> str:
+        rows = project(records.withColumn("_size", F.octet_length("payload")), self.fields, keep=("offset", "_size"))
+        self._check(rows.agg(*_told(self.fields)).first(), first, next_)
+        tmp = f".{self._base(first, next_)}-{uuid.uuid4().hex}"
         rows.orderBy("offset").drop("offset", "_size", "problem").coalesce(1).write.parquet(self.files.uri(tmp))  # a batch is bounded: one file
         (part,) = self.files.names(f"{tmp}/*.parquet")
-        self.files.publish(f"{tmp}/{part}", f"{base}.parquet")  # fails if it is there
-        hashed = self.files.digest(f"{base}.parquet")
+        ref = self._commit(f"{tmp}/{part}", self.files.digest(f"{tmp}/{part}"), first, next_, previous)
+        self.files.delete(tmp)
+        return ref
+
+    def _commit(self, made: str, hashed: str, first: int, next_: int, previous: str | None) -> str:
+        base, h = self._base(first, next_), self.held
+        self.files.publish(made, f"{base}.parquet")  # fails if it is there
         m = {"workload": h.workload, "epoch": h.epoch, "owner_token": h.token, "schema_ref": self.schema_ref, "canon": h.canon, "verse": h.verse, "first": first, "next": next_, "file": f"{base}.parquet", "digest": hashed, "previous": previous}
         self.files.create(f"{base}.json", json.dumps(m).encode())
-        self.files.delete(tmp)
         return f"parquet:{base}.parquet#{hashed}"
 
 
@@ -253,10 +342,10 @@ class Broken(Exception):
     """What a register names can't be read as one whole chain of manifests and files."""
 
 
-def chain(files: Files, register: Register, most: int = 256) -> list[dict]:
+def chain(files: Files, register: Register, most: int | None = 256) -> list[dict]:
     """The manifests that a register's last commit names, the oldest first; files are opened by name, a folder is never listed.
 
-    At most `most` small files, read on the driver.  Broken: no commit, a link that is missing, seen before, of another stream or
+    At most `most` small files (None: as many as there are), read on the driver.  Broken: no commit, a link that is missing, seen before, of another stream or
     schema or not adjoining, a head of a later epoch, or one that doesn't end at the register's frontier.
     """
     if register.last_commit_ref is None:
@@ -264,7 +353,7 @@ def chain(files: Files, register: Register, most: int = 256) -> list[dict]:
     back: list[dict] = []
     ref, seen = register.last_commit_ref, set()
     while ref is not None:
-        if len(back) >= most:
+        if most is not None and len(back) >= most:
             raise Broken("too long")
         if ref in seen:
             raise Broken("cycle")
@@ -294,34 +383,73 @@ def chain(files: Files, register: Register, most: int = 256) -> list[dict]:
     return back[::-1]
 
 
-def summarize(spark: SparkSession, folder: str, register: Register) -> tuple[dict, DataFrame]:
-    """A register's output: facts of it, and the digests of its rows (verse, offset, source_digest) by offset.
+def summarize(spark: SparkSession, folder: str, register: Register, most: int | None = 256) -> tuple[dict, DataFrame]:
+    """A register's output: facts of it, and the digests of its rows (verse, offset, source_digest) by offset."""
+    (facts,), digests = summaries(spark, folder, [register], most)
+    return facts, digests
+
+
+def summaries(spark: SparkSession, folder: str, registers: list[Register], most: int | None = 256) -> tuple[list[dict], DataFrame]:
+    """Registers' output: facts of each, and the digests of all their rows (verse, offset, source_digest) by offset.
 
-    Every file of the chain is read: its bytes must have the manifest's digest (executors hash them; a batch bounds a file), and
-    all must have the same columns.  A file's digests take its offsets in order; rows without one take none.
+    Every file of the chains is read once for all checks: its bytes must have the manifest's digest, and all must have the same
+    columns (executors hash files and cut their footers out; a batch bounds a file).  A file's digests take its offsets in order;
+    rows without one take none.  most: of a chain's manifests, see chain.
     """
     files = Files(spark, folder)
-    manifests = chain(files, register)
-    paths = [files.uri(m["file"]) for m in manifests]
-    if gone := [m["file"] for m in manifests if not files.exists(m["file"])]:
+    chains = [chain(files, r, most) for r in registers]
+    given = {m["file"]: m for c in chains for m in c}
+    if gone := [name for name in given if not files.exists(name)]:
         raise Broken(f"missing file: {gone[0]}")
-    bytes_ = spark.read.format("binaryFile").load(paths).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("digest"))
-    given = {m["file"]: m["digest"] for m in manifests}
-    if wrong := [r.file for r in bytes_.toLocalIterator() if given[r.file] != r.digest]:
+    if not given:
+        return [], spark.createDataFrame([], "verse string, offset long, source_digest string")
+    paths = [files.uri(name) for name in given]
+    told = {r.file: r for r in _footers(spark, paths).collect()}
+    if wrong := [name for name, m in given.items() if name not in told or told[name].digest != m["digest"]]:
         raise Broken(f"digest of {wrong[0]}")
-    columns = spark.read.parquet(paths[0]).columns
-    if any(spark.read.parquet(p).columns != columns for p in paths[1:]):
+    columns = told[next(iter(given))].columns
+    if any(r.columns != columns for r in told.values()):
         raise Broken("files of different columns")
-    data = spark.read.parquet(*paths).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    facts = {
-        "verse": register.verse, "binding_epoch": manifests[-1]["epoch"], "row_count": data.count(), "schema_fields": ",".join(columns), "first_offset": manifests[0]["first"],
-        "next_offset": manifests[-1]["next"], "manifest_count": len(manifests), "canonical_manifest": manifests[-1]["file"].removesuffix(".parquet") + ".json",
-    }
+    facts = [
+        {
+            "verse": r.verse, "binding_epoch": c[-1]["epoch"], "row_count": sum(told[m["file"]].n for m in c), "schema_fields": ",".join(columns), "first_offset": c[0]["first"],
+            "next_offset": c[-1]["next"], "manifest_count": len(c), "canonical_manifest": c[-1]["file"].removesuffix(".parquet") + ".json",
+        }
+        for r, c in zip(registers, chains, strict=True)
+    ]
     if "source_digest" not in columns:
         return facts, spark.createDataFrame([], "verse string, offset long, source_digest string")
-    starts = spark.createDataFrame([(m["file"], m["first"]) for m in manifests], "s_file string, s_first long")
-    d = data.select(F.col("_file").alias("file"), "_row", "source_digest").join(F.broadcast(starts), F.col("file") == F.col("s_file"))  # a row a manifest
-    return facts, pair_digests(d, F.col("s_first"), "_row").select(F.lit(register.verse).alias("verse"), "offset", "source_digest")
+    data = spark.read.parquet(*paths).select("source_digest", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("_row"))
+    starts = spark.createDataFrame([(m["file"], r.verse, m["first"]) for r, c in zip(registers, chains, strict=True) for m in c], "s_file string, verse string, s_first long")
+    d = data.join(F.broadcast(starts), F.col("file") == F.col("s_file"))  # a row a manifest
+    return facts, pair_digests(d, F.col("s_first"), "_row").select("verse", "offset", "source_digest")
+
+
+def _footers(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Parquet files: file, digest of the bytes, columns and n (rows) of the footer; columns is null where there is no footer."""
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        for b in batches:
+            columns, n = [], []
+            for x in b.column("footer").to_pylist():
+                try:
+                    m = pq.read_metadata(pa.BufferReader(b"PAR1" + x))
+                    columns.append(m.schema.to_arrow_schema().names)
+                    n.append(m.num_rows)
+                except (TypeError, pa.ArrowException, OSError):
+                    columns.append(None)
+                    n.append(None)
+            yield pa.RecordBatch.from_arrays([b.column("file"), b.column("digest"), pa.array(columns, pa.list_(pa.string())), pa.array(n, pa.int64())], ["file", "digest", "columns", "n"])
+
+    b = spark.read.format("binaryFile").load(paths).withColumn("_h", F.hex(F.substring("content", -8, 4)))  # the footer's length, its lowest byte first
+    big = F.concat(*[F.substring("_h", k, 2) for k in (7, 5, 3, 1)])
+    b = b.withColumn("_n", F.conv(big, 16, 10).try_cast("int"))
+    footer = F.expr("substring(content, cast(length(content) - 7 - _n as int), _n + 8)")
+    b = b.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("digest"), F.when(F.col("_n") < F.length("content"), footer).alias("footer"))
+    return b.mapInArrow(run, "file string, digest string, columns array<string>, n long")
 
 
 def pair_digests(rows: DataFrame, first: Column, order: str) -> DataFrame:

@@ -14,7 +14,7 @@ class Files:
     """The files of one folder, by name, whatever file system it is on.
 
     A name is taken once: publish() fails if it is there.  A rename without overwriting is atomic on HDFS, a hard link on a
-    local disk; stores without an atomic rename need a committer of their own.
+    local disk; stores without an atomic rename need a committer of their own.  Small files on a local disk don't go through the JVM.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -23,17 +23,21 @@ class Files:
         self.fs = self.Path(folder).getFileSystem(conf)
         self.root = self.fs.makeQualified(self.Path(folder))
         self.context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.root.toUri(), conf)
-        self.local = self.root.toUri().getScheme() == "file"
+        self.local, self.folder = self.root.toUri().getScheme() == "file", self.root.toUri().getPath()
         self.fs.mkdirs(self.root)
 
     def at(self, name: str):
         return self.Path(self.root, name)
 
+    def _here(self, name: str) -> str:
+        """The path on a local disk of a name, or of a whole path."""
+        return self.at(name).toUri().getPath() if ":" in name else os.path.join(self.folder, name)
+
     def uri(self, name: str) -> str:
         return self.at(name).toString()
 
     def exists(self, name: str) -> bool:
-        return self.fs.exists(self.at(name))
+        return os.path.exists(self._here(name)) if self.local else self.fs.exists(self.at(name))
 
     def names(self, pattern: str) -> list[str]:
         """The names that fit a glob, sorted; those that begin with a dot only if it does."""
@@ -41,6 +45,9 @@ class Files:
         return sorted(f.getPath().getName() for f in found or [])
 
     def read(self, name: str) -> bytes:
+        if self.local:
+            with open(self._here(name), "rb") as f:
+                return f.read()
         stream = self.fs.open(self.at(name))
         try:
             return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
@@ -57,10 +64,11 @@ class Files:
 
     def publish(self, made: str, name: str) -> None:
         """Gives a finished file its name; FileExistsError if that is taken."""
-        self.fs.mkdirs(self.at(name).getParent())
         if self.local:
-            os.link(self.at(made).toUri().getPath(), self.at(name).toUri().getPath())
+            os.makedirs(os.path.dirname(self._here(name)), exist_ok=True)
+            os.link(self._here(made), self._here(name))
             return
+        self.fs.mkdirs(self.at(name).getParent())
         if self.exists(name):
             raise FileExistsError(name)
         try:
@@ -73,6 +81,15 @@ class Files:
     def create(self, name: str, content: bytes) -> None:
         """A new file with content, seen whole or not at all; FileExistsError if the name is taken."""
         made = f".new-{uuid.uuid4().hex}"
+        if self.local:
+            with open(self._here(made), "xb") as f:
+                try:
+                    f.write(content)
+                    f.flush()
+                    self.publish(made, name)
+                finally:
+                    os.unlink(self._here(made))
+            return
         stream = self.fs.create(self.at(made), False)
         try:
             stream.write(bytearray(content))

@@ -4,8 +4,11 @@ import os
 import random
 
 import pytest
+from conftest import SMALL
 from oxbow.operators import materialize as M
 from oxbow.operators.materialize import Conflict, Field, ParquetWorkload, ProgressStore
+from oxbow.plans import ops_queries
+from oxbow.plans.catalog import QUERIES
 
 FIELDS = [Field("id", "utf8", False), Field("amount", "int64"), Field("source_digest", "utf8", False)]
 
@@ -144,3 +147,72 @@ def test_summary_reads_what_the_register_names(spark, tmp_path):
     os.unlink(file)
     with pytest.raises(M.Broken, match="missing file"):
         M.summarize(spark, f"{tmp_path}/out", register)
+
+
+def ranges(spark, n, size):
+    """Records of n ranges of two verses."""
+    return spark.createDataFrame([(v, i // size * size, i, f'{{"id": "r{i}", "amount": {i}}}') for v in "vu" for i in range(n * size)], "verse string, first long, offset long, payload string").repartition(3)
+
+
+def jobs(spark):
+    return spark._jsc.sc().dagScheduler().nextJobId()
+
+
+def test_more_ranges_take_no_more_jobs(spark, tmp_path, monkeypatch):
+    """Each range took five jobs or so, and each file of a chain one."""
+    took = []
+    for batch in (100, 10):
+        monkeypatch.setattr(ops_queries, "BATCH", batch)
+        began = jobs(spark)
+        rows = QUERIES["parquet_digests"](spark, SMALL).collect()
+        took.append(jobs(spark) - began)
+        assert len(rows) == spark.read.parquet(f"{SMALL}/events.parquet").count()
+    assert max(took) < 60 and took[1] <= took[0] + 10  # of over 100 ranges
+
+
+def test_staged_ranges_are_the_same_as_single_ones(spark, tmp_path):
+    staged = M.stage(spark, ranges(spark, 2, 3), FIELDS, f"{tmp_path}/staged")
+    assert set(staged) == {(v, f) for v in "vu" for f in (0, 3)}
+    a = work(spark, tmp_path)
+    ref = a.process_staged(staged["v", 0], 0, 3)
+    b = work(spark, tmp_path, "t2")
+    with pytest.raises(Conflict, match="fenced"):
+        a.process_staged(staged["v", 3], 3, 6)
+    with pytest.raises(Conflict, match="frontier"):
+        b.process_staged(staged["v", 0], 0, 3)
+    assert (b.held.epoch, b.held.last_commit_ref) == (2, ref)
+    b.process_staged(staged["v", 3], 3, 6)
+    assert b.reconcile(0, 3) == ("Absent", None) and b.reconcile(3, 6)[0] == "AlreadyCommitted"
+    c = ParquetWorkload(spark, ProgressStore(f"{tmp_path}/alone"), f"{tmp_path}/one", FIELDS, "s.v1", "w", "c", "v", "t1")
+    c.process(records(spark, 0, 3), 0, 3)
+    one, two = (spark.read.parquet(f"{tmp_path}/{at}/{a._base(0, 3)}.parquet") for at in ("one", "out"))
+    assert one.columns == two.columns and one.collect() == two.collect()
+
+
+def test_half_done_ranges_stop_staged_ones(spark, tmp_path):
+    staged = M.stage(spark, ranges(spark, 1, 3), FIELDS, f"{tmp_path}/staged")
+    a = work(spark, tmp_path)
+    os.mkdir(f"{tmp_path}/out/.{a._base(0, 3)}-x")
+    again = work(spark, tmp_path)  # the same owner, after a crash
+    with pytest.raises(Conflict, match="in part"):
+        again.process_staged(staged["v", 0], 0, 3)
+
+
+@pytest.mark.parametrize("rows", [[(0, '{"id": 1}')], [(0, "[]")], [(1, '{"id": "a"}')], [(0, '{"id": "a"}'), (0, '{"id": "b"}')], [(0, '{"id": "a", "source_digest": null}')], []])
+def test_bad_staged_ranges_publish_nothing(spark, tmp_path, rows):
+    staged = M.stage(spark, spark.createDataFrame([("v", 0, *r) for r in rows], "verse string, first long, offset long, payload string"), FIELDS, f"{tmp_path}/staged")
+    a = work(spark, tmp_path)
+    with pytest.raises(ValueError):
+        a.process_staged(staged.get(("v", 0)), 0, max(1, len(rows)))
+    assert not glob.glob(f"{tmp_path}/out/*.parquet")
+    assert a.store.observe("w", "c", "v").frontier == 0
+
+
+def test_a_register_is_seen_by_other_stores(spark, tmp_path):
+    mine, other = (ProgressStore(f"{tmp_path}/p", spark) for _ in range(2))
+    held = mine.acquire("w", "c", "v", "t1")
+    assert other.observe("w", "c", "v") == held
+    for k in range(1, 12):
+        held = mine.advance(held, k, f"x{k}")
+        if k in (1, 2, 5, 11):
+            assert other.observe("w", "c", "v") == held == ProgressStore(f"{tmp_path}/p", spark).observe("w", "c", "v")
