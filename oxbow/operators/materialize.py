@@ -385,44 +385,54 @@ def chain(files: Files, register: Register, most: int | None = 256) -> list[dict
 
 def summarize(spark: SparkSession, folder: str, register: Register, most: int | None = 256) -> tuple[dict, DataFrame]:
     """A register's output: facts of it, and the digests of its rows (verse, offset, source_digest) by offset."""
-    (facts,), digests = summaries(spark, folder, [register], most)
-    return facts, digests
+    (told,), digests = summaries(spark, folder, [register], most)
+    return told, digests
 
 
 def summaries(spark: SparkSession, folder: str, registers: list[Register], most: int | None = 256) -> tuple[list[dict], DataFrame]:
-    """Registers' output: facts of each, and the digests of all their rows (verse, offset, source_digest) by offset.
+    """Registers' output: facts of each, see facts, and the digests of all their rows (verse, offset, source_digest) by offset.
 
-    Every file of the chains is read once for all checks: its bytes must have the manifest's digest, and all must have the same
-    columns (executors hash files and cut their footers out; a batch bounds a file).  A file's digests take its offsets in order;
-    rows without one take none.  most: of a chain's manifests, see chain.
+    A file's digests take its offsets in order; rows without one take none.
     """
     files = Files(spark, folder)
     chains = [chain(files, r, most) for r in registers]
+    told = _facts(spark, files, registers, chains)
+    if not told or "source_digest" not in told[0]["schema_fields"].split(","):
+        return told, spark.createDataFrame([], "verse string, offset long, source_digest string")
+    data = spark.read.parquet(*[files.uri(m["file"]) for c in chains for m in c]).select("source_digest", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("_row"))
+    starts = spark.createDataFrame([(m["file"], r.verse, m["first"]) for r, c in zip(registers, chains, strict=True) for m in c], "s_file string, verse string, s_first long")
+    d = data.join(F.broadcast(starts), F.col("file") == F.col("s_file"))  # a row a manifest
+    return told, pair_digests(d, F.col("s_first"), "_row").select("verse", "offset", "source_digest")
+
+
+def facts(spark: SparkSession, folder: str, registers: list[Register], most: int | None = 256) -> list[dict]:
+    """What registers' chains hold, after every file of them has been read: its bytes must have the manifest's digest, and all must have the same columns.
+
+    One job reads all files (executors hash them and cut their footers out; a batch bounds a file).  most: of a chain's manifests, see chain.
+    """
+    files = Files(spark, folder)
+    return _facts(spark, files, registers, [chain(files, r, most) for r in registers])
+
+
+def _facts(spark: SparkSession, files: Files, registers: list[Register], chains: list[list[dict]]) -> list[dict]:
     given = {m["file"]: m for c in chains for m in c}
     if gone := [name for name in given if not files.exists(name)]:
         raise Broken(f"missing file: {gone[0]}")
     if not given:
-        return [], spark.createDataFrame([], "verse string, offset long, source_digest string")
-    paths = [files.uri(name) for name in given]
-    told = {r.file: r for r in _footers(spark, paths).collect()}
+        return []
+    told = {r.file: r for r in _footers(spark, [files.uri(name) for name in given]).collect()}
     if wrong := [name for name, m in given.items() if name not in told or told[name].digest != m["digest"]]:
         raise Broken(f"digest of {wrong[0]}")
     columns = told[next(iter(given))].columns
-    if any(r.columns != columns for r in told.values()):
+    if columns is None or any(r.columns != columns for r in told.values()):
         raise Broken("files of different columns")
-    facts = [
+    return [
         {
             "verse": r.verse, "binding_epoch": c[-1]["epoch"], "row_count": sum(told[m["file"]].n for m in c), "schema_fields": ",".join(columns), "first_offset": c[0]["first"],
             "next_offset": c[-1]["next"], "manifest_count": len(c), "canonical_manifest": c[-1]["file"].removesuffix(".parquet") + ".json",
         }
         for r, c in zip(registers, chains, strict=True)
     ]
-    if "source_digest" not in columns:
-        return facts, spark.createDataFrame([], "verse string, offset long, source_digest string")
-    data = spark.read.parquet(*paths).select("source_digest", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("_row"))
-    starts = spark.createDataFrame([(m["file"], r.verse, m["first"]) for r, c in zip(registers, chains, strict=True) for m in c], "s_file string, verse string, s_first long")
-    d = data.join(F.broadcast(starts), F.col("file") == F.col("s_file"))  # a row a manifest
-    return facts, pair_digests(d, F.col("s_first"), "_row").select("verse", "offset", "source_digest")
 
 
 def _footers(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -170,6 +170,36 @@ def test_more_ranges_take_no_more_jobs(spark, tmp_path, monkeypatch):
     assert max(took) < 60 and took[1] <= took[0] + 10  # of over 100 ranges
 
 
+def test_summary_takes_no_job_a_file(spark, monkeypatch):
+    monkeypatch.setattr(ops_queries, "BATCH", 10)
+    began = jobs(spark)
+    rows = QUERIES["parquet_summary"](spark, SMALL).collect()
+    assert jobs(spark) - began < 60 < sum(r.manifest_count for r in rows)
+    n = spark.read.parquet(f"{SMALL}/events.parquet").groupBy("event_type").count().collect()
+    assert {(r.verse, r.row_count, r.manifest_count) for r in rows} == {(r.event_type, r["count"], -(-r["count"] // 10)) for r in n}
+
+
+def test_a_chain_of_any_length(spark, tmp_path):
+    staged = M.stage(spark, ranges(spark, 300, 2), FIELDS, f"{tmp_path}/staged")
+    a = work(spark, tmp_path)
+    for first in range(0, 600, 2):
+        a.process_staged(staged["v", first], first, first + 2)
+    register = a.store.observe("w", "c", "v")
+    with pytest.raises(M.Broken, match="too long"):
+        M.summarize(spark, f"{tmp_path}/out", register)
+    (told,) = M.facts(spark, f"{tmp_path}/out", [register], None)
+    assert (told["row_count"], told["manifest_count"], told["next_offset"]) == (600, 300, 600)
+
+
+def test_files_of_other_columns_are_broken(spark, tmp_path):
+    a = work(spark, tmp_path)
+    a.process(records(spark, 0, 3), 0, 3)
+    a.fields = FIELDS[:1] + FIELDS[2:]
+    a.process(records(spark, 3, 5), 3, 5)
+    with pytest.raises(M.Broken, match="different columns"):
+        M.summarize(spark, f"{tmp_path}/out", a.store.observe("w", "c", "v"))
+
+
 def test_staged_ranges_are_the_same_as_single_ones(spark, tmp_path):
     staged = M.stage(spark, ranges(spark, 2, 3), FIELDS, f"{tmp_path}/staged")
     assert set(staged) == {(v, f) for v in "vu" for f in (0, 3)}
